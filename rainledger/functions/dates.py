@@ -15,12 +15,16 @@ WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 def parse_date(text: str | Column, fmt: str = DAY_FIRST) -> Column:
     """DATE from text, NULL where the text does not match ``fmt``.
 
-    Spark reads every two-digit year as 20xx; 70 to 99 belong to the last century.
+    Spark reads every two-digit year as 20xx, but 70 to 99 belong to the last century. The
+    century is written in front of the two digits, behind a mark that keeps years already
+    given in full from matching. So the text is looked at once, not once per century.
     """
-    parsed = F.try_to_date(F.col(text) if isinstance(text, str) else text, fmt)
-    if fmt.count("y") != 2:
-        return parsed
-    return F.when(F.year(parsed) >= 2070, F.add_months(parsed, -1200)).otherwise(parsed)
+    text = F.trim(F.col(text) if isinstance(text, str) else text)
+    if not fmt.endswith("yy") or fmt.endswith("yyyy"):
+        return F.try_to_date(text, fmt)
+    last_century = F.regexp_replace(text, r"(?<!\d)([7-9]\d)$", "~19$1")
+    marked = F.regexp_replace(last_century, r"(?<!\d)([0-6]\d)$", "~20$1")
+    return F.try_to_date(marked, fmt.removesuffix("yy") + "'~'yyyy")
 
 
 def weekday_name(position: Column) -> Column:

@@ -15,12 +15,21 @@ def mean(column: str | Column) -> Column:
     return F.try_divide(F.sum(column).cast("double"), F.count(column).cast("double"))
 
 
+def _exact(total_: Column) -> Column:
+    return total_.cast("decimal(24,6)")
+
+
+def rounded_mean(column: str | Column, digits: int) -> Column:
+    """Average rounded as DECIMAL: a binary 54.95 may lie below the half and round down."""
+    count = F.count(column).cast("decimal(20,0)")
+    return F.round(F.try_divide(_exact(F.sum(column)), count), digits)
+
+
 def margin_percent() -> Column:
     """Profit per sales in percent, NULL when sales add up to zero."""
-    ratio = F.try_divide(F.sum("profit").cast("double"), F.sum("sales").cast("double"))
-    return F.round(ratio * 100, 2)
+    return F.round(F.try_divide(_exact(F.sum("profit")), _exact(F.sum("sales"))) * 100, 2)
 
 
 def share_percent(condition: Column) -> Column:
-    ratio = F.try_divide(100 * F.count_if(condition).cast("double"), F.count("*").cast("double"))
-    return F.round(ratio, 1)
+    part, whole = F.count_if(condition), F.count("*").cast("decimal(20,0)")
+    return F.round(F.try_divide(_exact(part * 100), whole), 1)

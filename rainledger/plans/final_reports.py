@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainledger.functions.dates import WEEKDAYS, field_position, weekday_name
-from rainledger.functions.measures import margin_percent, mean, total
+from rainledger.functions.measures import margin_percent, rounded_mean, total
 from rainledger.plans.report import report
 
 KELVIN_OFFSET = Decimal("273.15")
@@ -31,7 +31,7 @@ def _margin() -> Column:
 
 
 def _average(column: str, name: str) -> Column:
-    return F.round(mean(column), 2).alias(name)
+    return rounded_mean(column, 2).alias(name)
 
 
 def with_weather(final: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def segment_performance(final: DataFrame) -> DataFrame:
 
 def shipping_efficiency(final: DataFrame) -> DataFrame:
     shipped = final.filter(F.col("ship_date").isNotNull())
-    days = F.round(mean(F.datediff("ship_date", "order_date")), 2).alias("avg_delivery_days")
+    days = rounded_mean(F.datediff("ship_date", "order_date"), 2).alias("avg_delivery_days")
     return report(
         shipped, ["ship_mode"], [_lines(), days, _sales(), _profit()], ["avg_delivery_days", "ship_mode"]
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rainledger.functions.measures import mean, total
+from rainledger.functions.measures import mean, rounded_mean, total
 from rainledger.operators.enrich import on_weather
 from rainledger.plans.report import report
 
@@ -258,8 +258,8 @@ def ideal_weather_sales(
         [
             F.count("*").alias("num_orders"),
             total("sales").alias("total_sales"),
-            F.round(mean("temperature"), 1).alias("avg_temp"),
-            F.round(mean("humidity"), 1).alias("avg_humidity"),
+            rounded_mean("temperature", 1).alias("avg_temp"),
+            rounded_mean("humidity", 1).alias("avg_humidity"),
         ],
         [F.desc("total_sales")],
     )

@@ -27,7 +27,7 @@ _SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the footers are read for its schema only once per application."""
+    """A driver table; its footers are read for the schema only once per application."""
     path = f"{sf_dir}/{name}.parquet"
     key = (spark.sparkContext.applicationId, path)
     if key not in _SCHEMAS:
@@ -41,13 +41,14 @@ def _city_number() -> Column:
 
 def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with customer and place. Joined before the lines, which then shuffle only once."""
-    nation = table(spark, sf_dir, "nation").join(
+    places = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    customer = table(spark, sf_dir, "customer").join(
-        nation, F.col("c_nationkey") == F.col("n_nationkey")
+    return (
+        table(spark, sf_dir, "orders")
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     )
-    return table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
 
 
 def typed_lines(spark: SparkSession, sf_dir: str, products: bool = True) -> DataFrame:
@@ -56,8 +57,10 @@ def typed_lines(spark: SparkSession, sf_dir: str, products: bool = True) -> Data
     Without ``products`` the three columns taken from ``part`` are left out, which saves
     the shuffle of all lines on the part key.
     """
+    # Both sides grow with the data. The hint keeps Catalyst from broadcasting either of them
+    # because a compressed file or a narrow projection looks small.
     lines = table(spark, sf_dir, "lineitem").join(
-        _headers(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")
+        _headers(spark, sf_dir).hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     if products:
         lines = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
