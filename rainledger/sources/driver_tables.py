@@ -9,7 +9,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, IntegerType, LongType, StructField, StructType
 
 from rainledger.operators.impute import city_state_reference
 from rainledger.operators.enrich import fold_city, parse_dates
@@ -160,11 +160,23 @@ _BUILDERS = {
 }
 
 
+def _delivered(cells: DataFrame, measure: str) -> DataFrame:
+    build, schema = _BUILDERS[measure]
+    placed = build(cells).withColumn("city", F.concat(F.lit("CITY_"), F.col("c")))
+    return placed.select(*schema.fieldNames())
+
+
 def weather_as_delivered(spark: SparkSession, sf_dir: str, measure: str) -> DataFrame:
     """One weather table before it is read in: day, city as given, and the measure."""
-    build, schema = _BUILDERS[measure]
-    cells = build(_cells(spark, sf_dir)).withColumn("city", F.concat(F.lit("CITY_"), F.col("c")))
-    return cells.select(*schema.fieldNames())
+    return _delivered(_cells(spark, sf_dir), measure)
+
+
+def _stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells, written once so that the three tables share one pass over the orders."""
+    schema = StructType(
+        [StructField("date", DateType()), StructField("c", LongType()), StructField("dn", IntegerType())]
+    )
+    return stored(spark, sf_dir, "cells", schema, lambda: _cells(spark, sf_dir))
 
 
 def weather(spark: SparkSession, sf_dir: str, measure: str) -> DataFrame:
@@ -175,7 +187,7 @@ def weather(spark: SparkSession, sf_dir: str, measure: str) -> DataFrame:
         sf_dir,
         measure,
         schema,
-        lambda: weather_as_delivered(spark, sf_dir, measure),
+        lambda: _delivered(_stored_cells(spark, sf_dir), measure),
     )
     if measure == "description":
         return readers.daily_texts(imported)

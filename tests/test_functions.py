@@ -1,0 +1,104 @@
+from datetime import date
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from rainledger.functions.dates import MONTH_FIRST, WEEKDAYS, field_position, parse_date, weekday_name
+from rainledger.functions.measures import margin_percent, mean, rounded_mean
+from rainledger.functions.text import fold
+from rainledger.plans.final_reports import discount_band, temperature_band
+
+
+def column(spark, values, kind):
+    return spark.createDataFrame([(v,) for v in values], f"v {kind}")
+
+
+def mapped(frame, expression):
+    return [row[0] for row in frame.select(expression).collect()]
+
+
+def test_two_digit_years_turn_at_seventy(spark):
+    texts = ["31/12/69", "01/01/70", "01/01/99", "5/3/14", "05/03/14", " 5/3/14"]
+    assert mapped(column(spark, texts, "string"), parse_date("v")) == [
+        date(2069, 12, 31),
+        date(1970, 1, 1),
+        date(1999, 1, 1),
+        date(2014, 3, 5),
+        date(2014, 3, 5),
+        date(2014, 3, 5),
+    ]
+
+
+def test_leap_day_of_the_last_century(spark):
+    assert mapped(column(spark, ["29/02/96", "29/02/97"], "string"), parse_date("v")) == [
+        date(1996, 2, 29),
+        None,
+    ]
+
+
+def test_text_that_is_no_date_gives_null(spark):
+    texts = ["13/13/14", "08/11/2016", "", "x", "1", "29/02/23", None]
+    assert mapped(column(spark, texts, "string"), parse_date("v")) == [None] * 7
+
+
+def test_month_first(spark):
+    assert mapped(column(spark, ["11/8/2016", "13/01/2016"], "string"), parse_date("v", MONTH_FIRST)) == [
+        date(2016, 11, 8),
+        None,
+    ]
+
+
+def test_fold(spark):
+    assert mapped(column(spark, [" Sky is Clear ", "sky is clear", None], "string"), fold("v")) == [
+        "sky is clear",
+        "sky is clear",
+        None,
+    ]
+
+
+def test_weekdays(spark):
+    days = column(spark, [date(2024, 1, 1), date(2024, 1, 7)], "date")
+    name = weekday_name(F.weekday("v"))
+    assert mapped(days, name) == ["Monday", "Sunday"]
+    assert mapped(days, field_position(name, *WEEKDAYS)) == [1, 7]
+    assert mapped(column(spark, ["Someday", None], "string"), field_position(F.col("v"), *WEEKDAYS)) == [0, 0]
+
+
+def test_temperature_bands_share_edges_and_the_colder_wins(spark):
+    values = [Decimal(v) for v in ("-0.01", "0", "10", "10.01", "20", "30", "30.01")] + [None]
+    assert mapped(column(spark, values, "decimal(10,2)"), temperature_band(F.col("v"))) == [
+        "Below 0°C",
+        "0-10°C",
+        "0-10°C",
+        "10-20°C",
+        "10-20°C",
+        "20-30°C",
+        "Above 30°C",
+        "Unknown",
+    ]
+
+
+def test_discount_bands(spark):
+    values = [Decimal(v) for v in ("0", "0.2", "0.21", "0.4", "0.6", "0.61")] + [None]
+    assert mapped(column(spark, values, "decimal(5,2)"), discount_band(F.col("v"))) == [
+        "No discount",
+        "0-20% discount",
+        "20-40% discount",
+        "20-40% discount",
+        "40-60% discount",
+        "60%+ discount",
+        "60%+ discount",
+    ]
+
+
+def test_rounding_is_decimal(spark):
+    # 329.70 / 6 is 54.95 exactly, which the nearest double falls short of.
+    frame = column(spark, [Decimal("54.95")] * 6, "decimal(10,2)")
+    assert mapped(frame.agg(rounded_mean("v", 1).alias("v")), F.col("v").cast("double")) == [55.0]
+
+
+def test_measures_without_anything_to_measure(spark):
+    frame = spark.createDataFrame([(None, None)], "sales decimal(10,2), profit decimal(10,2)")
+    assert frame.agg(mean("sales"), margin_percent()).collect()[0][:] == (None, None)
+    zero = spark.createDataFrame([(Decimal(0), Decimal(5))], "sales decimal(10,2), profit decimal(10,2)")
+    assert zero.agg(margin_percent()).collect()[0][0] is None
