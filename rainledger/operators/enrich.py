@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rainledger.functions.dates import DAY_FIRST, parse_date
 from rainledger.functions.text import fold
-from rainledger.operators.lookup import join_lookup
+from rainledger.operators.lookup import join_lookup, measured_bytes
 from rainledger.operators.quality import Split, clean_rules, split
 from rainledger.sources.schemas import CLEAN_COLUMNS, ORDERS_RAW
 
@@ -54,9 +54,12 @@ def slice_by_date(
     return orders.filter(F.col("order_date").between(F.lit(first), F.lit(last)))
 
 
-def on_weather(lines: DataFrame, weather: DataFrame, how: str, date_column: str) -> DataFrame:
+def on_weather(
+    lines: DataFrame, weather: DataFrame, how: str, date_column: str, size: int | None = None
+) -> DataFrame:
     """Weather of the line's own date and city."""
-    return join_lookup(lines, weather.withColumnRenamed("date", date_column), [date_column, "city"], how)
+    lookup = weather.withColumnRenamed("date", date_column)
+    return join_lookup(lines, lookup, [date_column, "city"], how, size)
 
 
 def sales_weather(dated: DataFrame, weather: DataFrame) -> DataFrame:
@@ -69,10 +72,17 @@ def sales_weather_joined(
     orders: DataFrame, temperature: DataFrame, humidity: DataFrame, description: DataFrame
 ) -> DataFrame:
     """Every line; its weather stays NULL where a table has no row for date and city."""
-    texts = description.select("date", "city", F.col("description").alias("weather_condition"))
+    tables = {
+        "temperature": temperature,
+        "humidity": humidity,
+        "weather_condition": description.select(
+            "date", "city", F.col("description").alias("weather_condition")
+        ),
+    }
+    sizes = measured_bytes(tables)
     joined = orders
-    for table in (temperature, humidity, texts):
-        joined = on_weather(joined, table, "left", "order_date")
+    for name, table in tables.items():
+        joined = on_weather(joined, table, "left", "order_date", sizes[name])
     return joined.select(*orders.columns, "temperature", "humidity", "weather_condition")
 
 

@@ -49,7 +49,7 @@ def top_products_by_profit(final: DataFrame, limit: int = 10) -> DataFrame:
         final,
         ["product_name", "category", "sub_category"],
         [total("quantity").alias("total_units_sold"), _sales(), _profit(), _margin()],
-        [F.desc("total_profit"), "product_name", "category", "sub_category"],
+        [F.desc("total_profit")],
         limit,
     )
 
@@ -122,7 +122,7 @@ def shipping_efficiency(final: DataFrame) -> DataFrame:
     shipped = final.filter(F.col("ship_date").isNotNull())
     days = rounded_mean(F.datediff("ship_date", "order_date"), 2).alias("avg_delivery_days")
     return report(
-        shipped, ["ship_mode"], [_lines(), days, _sales(), _profit()], ["avg_delivery_days", "ship_mode"]
+        shipped, ["ship_mode"], [_lines(), days, _sales(), _profit()], ["avg_delivery_days"]
     )
 
 
