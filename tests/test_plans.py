@@ -59,3 +59,9 @@ def test_one_scan_of_the_lines_serves_both_steps(spark, sf_dir):
         frame.collect()
         text = frame._jdf.queryExecution().executedPlan().toString()
         assert "ReusedExchange" in text.split("== Initial Plan ==")[0], name
+
+
+def test_gap_filling_moves_the_lines_no_further(spark, sf_dir):
+    text = initial(plan(spark, sf_dir, "sales_weather_final"))
+    assert len(re.findall(r"BroadcastHashJoin \[order_date#\d+(, \w+#\d+)?\], .*LeftOuter, BuildRight", text)) == 4
+    assert len(re.findall(r"Exchange hashpartitioning\(l_orderkey", text)) == 1
