@@ -108,7 +108,7 @@ def check_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def check_unique(spark: SparkSession, sf: str) -> DataFrame:
-    """Violations of all five key rules, told apart by name."""
+    """Violations of all key rules, told apart by name."""
     lines = source.orders(spark, sf, products=False)
     rules = {
         "orders row_id": (lines, ["row_id"]),
