@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import connect, differences
+from checks.oracle import ORACLE_SQL
+from rainledger.plans.catalogue import registered
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = registered()
+SQL = ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
