@@ -6,6 +6,7 @@ import io
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,19 @@ STEP = 3
 DECAY = 0.6
 #: Letters of a unit; longer words are read in windows that overlap by half.
 UNIT = 24
-ROUNDS = 4
+ROUNDS = 3
 #: Word scores that a Python worker remembers; beyond that it starts anew.
 CACHE_WORDS = 600_000
 SEED = 8
 TOXIC = 0.5
+#: What makes a string typical of toxic sentences at first: its log odds, and these in standard errors.
+LEAST_ODDS = 1.5
+LEAST_SURE = 2.7
+RIDGE = 2.0
+#: The surest strings are learned with an inserted letter too, at this cost each.
+GAPPED = 100
+GAPPED_COST = 1.0
+FEATURES = 5
 
 _CODES = 64
 _EDGE = 63
@@ -64,27 +73,33 @@ def words(text: bytes) -> set[bytes]:
     return found
 
 
-def subsequences(given: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and weights of the three-letter subsequences of each unit, gaps allowed; weight 0 where there is none.
+@cache
+def _pattern(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (three rows) and weights of the subsequences of a string of so many letters, edges included.
 
-    The word's edges count as letters. Weights are scaled to length one, so a longer word doesn't count more.
+    Weights are scaled to length one, so a longer word doesn't count more.
     """
-    width = max(map(len, given)) + 2 + 2 * STEP
-    codes = np.zeros((len(given), width), np.int64)
+    found = [
+        (i, i + one, i + one + two, DECAY ** (one + two))
+        for one in range(1, STEP + 1)
+        for two in range(1, STEP + 1)
+        for i in range(length - one - two)
+    ]
+    table = np.array(found).T
+    return table[:3].astype(int), table[3] / np.sqrt((table[3] ** 2).sum())
+
+
+def subsequences(given: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The three-letter subsequences of strings, gaps allowed, for strings of one length at a time: which strings,
+    the keys of each (one row per string), and the weights (the same for all of them). The edges of a word count as letters."""
     lengths = np.array([len(u) for u in given])
-    flat = _CODE[np.frombuffer(b"".join(given), np.uint8)]
-    row = np.repeat(np.arange(len(given)), lengths)
-    codes[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1] = flat
-    codes[:, 0] = codes[np.arange(len(given)), lengths + 1] = _EDGE
-    span = width - 2 * STEP
-    keys, weights = [], []
-    for one in range(1, STEP + 1):
-        for two in range(1, STEP + 1):
-            a, b, c = codes[:, :span], codes[:, one : one + span], codes[:, one + two : one + two + span]
-            keys.append((a * _CODES + b) * _CODES + c)
-            weights.append(np.where(c > 0, DECAY ** (one + two), 0.0))
-    keys, weights = np.concatenate(keys, axis=1), np.concatenate(weights, axis=1)
-    return keys, weights / np.maximum(np.sqrt((weights**2).sum(axis=1, keepdims=True)), 1e-9)
+    for length in np.unique(lengths):
+        rows = np.flatnonzero(lengths == length)
+        codes = np.full((len(rows), length + 2), _EDGE, np.int32)
+        codes[:, 1:-1] = _CODE[np.frombuffer(b"".join(given[i] for i in rows), np.uint8)].reshape(len(rows), length)
+        places, weights = _pattern(int(length) + 2)
+        first, second, third = (codes[:, p] for p in places)
+        yield rows, (first * _CODES + second) * _CODES + third, weights
 
 
 class KernelModel:
@@ -108,11 +123,11 @@ class KernelModel:
             return cls(parts["weights"], float(parts["bias"]), parts["platt"])
 
     def of_units(self, given: list[bytes]) -> np.ndarray:
-        out = []
-        for low in range(0, len(given), 4096):
-            keys, weights = subsequences(given[low : low + 4096])
-            out.append((self.weights[keys] * weights).sum(axis=1) + self.bias)
-        return np.concatenate(out) if out else np.empty(0)
+        out = np.full(len(given), self.bias)
+        for low in range(0, len(given), 8192):
+            for rows, keys, weights in subsequences(given[low : low + 8192]):
+                out[low + rows] += self.weights[keys] @ weights
+        return out
 
     def of_words(self, given: list[bytes]) -> np.ndarray:
         """The best unit of each word; -2 for a word without three letters."""
@@ -122,25 +137,29 @@ class KernelModel:
         np.maximum.at(out, owner, self.of_units([u for p in parts for u in p]))
         return out
 
-    def top_words(self, texts: list[bytes]) -> np.ndarray:
-        """Per text the decision values of its two highest different words."""
+    def document_features(self, texts: list[bytes]) -> np.ndarray:
+        """Per text: the decision values of its three highest different words, the sum of those above 0, and
+        the logarithm of the number of words."""
         split = [words(t.translate(LOWER)) for t in texts]
         new = list(set().union(*split).difference(self.seen))
         if len(self.seen) + len(new) > CACHE_WORDS:
             self.seen.clear()
             new = list(set().union(*split))
-        self.seen.update(zip(new, self.of_words(new).tolist(), strict=True))
-        out = np.full((len(texts), 2), -2.0)
+        self.seen.update(zip(new, np.clip(self.of_words(new), -2, 2).tolist(), strict=True))
+        out = np.full((len(texts), FEATURES), -2.0)
+        out[:, 3:] = 0
         for row, found in enumerate(split):
             if found:
                 values = np.fromiter(map(self.seen.__getitem__, found), np.float64, len(found))
-                best = np.sort(np.partition(values, -2)[-2:])[::-1] if len(values) > 1 else values
+                best = np.sort(np.partition(values, -3)[-3:] if len(values) > 3 else values)[::-1]
                 out[row, : len(best)] = best
+                out[row, 3] = np.log1p(np.maximum(values, 0).sum())
+                out[row, 4] = np.log1p(len(found))
         return out
 
     def of_texts(self, texts: list[bytes]) -> np.ndarray:
-        top = np.clip(self.top_words(texts), -2, 2)
-        return 1 / (1 + np.exp(-np.clip(top @ self.platt[:2] + self.platt[2], -30, 30)))
+        found = self.document_features(texts) @ self.platt[:FEATURES] + self.platt[FEATURES]
+        return 1 / (1 + np.exp(-np.clip(found, -30, 30)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float) -> np.ndarray:
@@ -161,29 +180,27 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float) -> np.nda
 
 class _Landmarks:
     def __init__(self, given: list[bytes]):
-        keys, weights = subsequences(given)
-        used, place = np.unique(keys[weights > 0], return_inverse=True)
-        self.used = used
-        self.table = np.zeros((len(used) + 1, len(given)), np.float32)
-        rows = np.broadcast_to(np.arange(len(given))[:, None], keys.shape)[weights > 0]
-        np.add.at(self.table, (place, rows), weights[weights > 0])
-        self.index = np.full(_CODES**3, len(used))
-        self.index[used] = np.arange(len(used))
+        parts = list(subsequences(given))
+        self.used = np.unique(np.concatenate([keys.ravel() for _, keys, _ in parts]))
+        self.index = np.full(_CODES**3, len(self.used))
+        self.index[self.used] = np.arange(len(self.used))
+        self.table = np.zeros((len(self.used) + 1, len(given)), np.float32)
+        for rows, keys, weights in parts:
+            np.add.at(self.table, (self.index[keys], rows[:, None]), weights[None, :])
         values, vectors = np.linalg.eigh(self.kernel(given))
         good = values > 1e-4 * values.max()
         self.map = vectors[:, good] / np.sqrt(values[good])
 
     def kernel(self, given: list[bytes]) -> np.ndarray:
-        out = []
-        for low in range(0, len(given), 512):
-            keys, weights = subsequences(given[low : low + 512])
-            rows = self.index[keys]
-            total = np.zeros((len(rows), self.table.shape[1]))
-            for j in range(rows.shape[1]):
-                live = (weights[:, j] > 0) & (rows[:, j] < len(self.used))
-                total[live] += self.table[rows[live, j]] * weights[live, j, None]
-            out.append(total)
-        return np.concatenate(out)
+        """K(string, landmark): products of the features that both have."""
+        out = np.zeros((len(given), self.table.shape[1]))
+        for low in range(0, len(given), 2048):
+            for rows, keys, weights in subsequences(given[low : low + 2048]):
+                found = self.index[keys]
+                for j, weight in enumerate(weights):
+                    live = np.flatnonzero(found[:, j] < len(self.used))
+                    out[low + rows[live]] += weight * self.table[found[live, j]]
+        return out
 
     def collapse(self, w: np.ndarray) -> np.ndarray:
         weights = np.zeros(_CODES**3)
@@ -191,72 +208,80 @@ class _Landmarks:
         return weights
 
 
-def _platt(top: np.ndarray, label: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    x = np.hstack([np.clip(top, -2, 2), np.ones((len(top), 1))])
-    w = np.zeros(3)
+def _platt(x: np.ndarray, label: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (cost * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-3 * np.eye(3)
-        w = w - np.linalg.solve(hess, x.T @ (cost * (p - label)) + 1e-3 * w)
+        hess = (x * (cost * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-2 * np.eye(x.shape[1])
+        w = w - np.linalg.solve(hess, x.T @ (cost * (p - label)) + 1e-2 * w)
     return w
 
 
+def _with_insert(unit: bytes, draw: np.random.RandomState) -> bytes:
+    """A string with one more letter inside."""
+    at = draw.randint(2, len(unit) - 1)
+    return unit[:at] + bytes([draw.randint(ord("a"), ord("z") + 1)]) + unit[at:]
+
+
+def _nothing_learned(toxic_share: float) -> KernelModel:
+    odds = np.log(max(toxic_share, 1e-6) / max(1 - toxic_share, 1e-6))
+    return KernelModel(np.zeros(_CODES**3), -2.0, np.r_[np.zeros(FEATURES), odds])
+
+
 def fit(texts: list[bytes], label: np.ndarray, toxic_share: float, seed: int = SEED) -> KernelModel:
     """Learn from documents' labels which sentences, and in them which strings, are toxic.
 
-    Every sentence first has its document's label and is read as the string in it that is most typical of toxic
-    documents; a round trains the machine and reads the sentences anew by its decision values. Sentences of
-    clean documents give the negatives, the highest of them always. A third of the documents only fit the final logistic curve.
+    Every different sentence has its document's label. The strings that are far more frequent in toxic sentences
+    are the first positives, each with its number of toxic sentences, and with its clean ones as negatives. A
+    round trains the machine against strings of clean sentences, the highest of them always, and then takes rare
+    strings of toxic sentences in by their decision values. A third of the documents only fit the final logistic curve.
     """
     draw = np.random.RandomState(seed)
     order = draw.permutation(len(texts))
     cut = len(texts) // 3
     curve, base = order[:cut], order[cut:]
-    sentences = [
-        [{u for w in words(s) for u in units(w)} for s in _SENTENCE.split(texts[i].translate(LOWER))] for i in base
-    ]
-    toxic = label[base] > 0.5
+    sentences: tuple[set[bytes], set[bytes]] = (set(), set())
+    for i in base:
+        sentences[int(label[i] > 0.5)].update(_SENTENCE.split(texts[i].translate(LOWER)))
     counts = (Counter(), Counter())
-    for parts, is_toxic in zip(sentences, toxic, strict=True):
-        counts[int(is_toxic)].update(set().union(*parts))
+    for side in (0, 1):
+        for sentence in sorted(sentences[side]):
+            counts[side].update({u for w in words(sentence) for u in units(w)})
     vocabulary = sorted(set(counts[0]) | set(counts[1]))
-    clean_df = np.array([counts[0][u] for u in vocabulary], float)
-    toxic_df = np.array([counts[1][u] for u in vocabulary], float)
-    place = {u: i for i, u in enumerate(vocabulary)}
-    rated = np.log((toxic_df + 0.5) / (toxic.sum() + 1)) - np.log((clean_df + 0.5) / ((~toxic).sum() + 1))
-    value = rated * np.minimum(toxic_df, 5) / 5
-    negatives = np.flatnonzero(clean_df > 0)
-    model = None
+    clean_in = np.array([counts[0][u] for u in vocabulary], float)
+    toxic_in = np.array([counts[1][u] for u in vocabulary], float)
+    rated = np.log((toxic_in + 0.5) / (len(sentences[1]) + 1)) - np.log((clean_in + 0.5) / (len(sentences[0]) + 1))
+    sure = rated / np.sqrt(1 / (toxic_in + 0.5) + 1 / (clean_in + 0.5))
+    typical = (rated > LEAST_ODDS) & (sure > LEAST_SURE)
+    clean = np.flatnonzero(clean_in > 0)
+    if not typical.any() or not len(clean):
+        return _nothing_learned(toxic_share)
+    surest = np.flatnonzero(typical)[np.argsort(-sure[typical], kind="stable")][:GAPPED]
+    gapped = [_with_insert(vocabulary[i], draw) for i in surest for _ in range(3) if len(vocabulary[i]) > 4]
+    chosen, value = typical, np.where(typical, 1.0, rated / 100)
     for _ in range(ROUNDS):
-        chosen = set()
-        for parts, is_toxic in zip(sentences, toxic, strict=True):
-            if is_toxic:
-                best = [max((place[u] for u in part), key=value.__getitem__) for part in parts if part]
-                if best:
-                    top = max(best, key=value.__getitem__)
-                    chosen.update(b for b in best if b == top or value[b] > (1.0 if model is None else 0.0))
-        positives = np.array(sorted(i for i in chosen if clean_df[i] == 0), int)
-        if not len(positives) or not len(negatives):
-            return KernelModel(np.zeros(_CODES**3), -2.0, np.array([0.0, 0.0, np.log(max(toxic_share, 1e-6) / max(1 - toxic_share, 1e-6))]))
-        hard = negatives[np.argsort(-value[negatives], kind="stable")[:4000]]
-        wide = draw.choice(negatives, min(len(negatives), 12000), replace=False)
-        against = np.unique(np.r_[hard, wide])
-        typical = positives[np.argsort(-toxic_df[positives], kind="stable")]
-        half = LANDMARKS // 2
-        named = [*typical[:half], *draw.choice(against, min(len(against), LANDMARKS - min(half, len(typical))), replace=False)]
-        marks = _Landmarks([vocabulary[i] for i in named])
+        positives = np.flatnonzero(chosen)
+        hard = clean[np.argsort(-value[clean], kind="stable")[:4000]]
+        against = np.unique(np.r_[hard, draw.choice(clean, min(len(clean), 12000), replace=False)])
+        first = positives[np.argsort(-toxic_in[positives], kind="stable")][: LANDMARKS // 2]
+        other = draw.choice(against, min(len(against), LANDMARKS - len(first)), replace=False)
+        marks = _Landmarks([vocabulary[i] for i in [*first, *other]])
         rows = np.r_[positives, against]
         y = np.r_[np.ones(len(positives)), -np.ones(len(against))]
-        strength = np.r_[np.log1p(toxic_df[positives]), np.ones(len(against))]
-        cost = strength * np.r_[np.full(len(positives), len(against) / strength[: len(positives)].sum()), np.ones(len(against))]
-        w = _svm(marks.kernel([vocabulary[i] for i in rows]) @ marks.map, y, cost, ridge=2.0)
-        model = KernelModel(marks.collapse(w[:-1]), float(w[-1]), np.zeros(3))
+        cost = np.r_[np.minimum(toxic_in[positives], 20), np.minimum(clean_in[against], 20)]
+        cost[: len(positives)] *= cost[len(positives) :].sum() / cost[: len(positives)].sum()
+        given = [vocabulary[i] for i in rows] + gapped
+        y, cost = np.r_[y, np.ones(len(gapped))], np.r_[cost / cost.mean(), np.full(len(gapped), GAPPED_COST)]
+        w = _svm(marks.kernel(given) @ marks.map, y, cost, ridge=RIDGE)
+        model = KernelModel(marks.collapse(w[:-1]), float(w[-1]), np.zeros(FEATURES + 1))
         value = model.of_units(vocabulary)
-    top = model.top_words([texts[i] for i in curve])
+        chosen = typical | ((value > 0.5) & (toxic_in > clean_in))
+    features = model.document_features([texts[i] for i in curve])
     is_toxic = label[curve] > 0.5
     shares = np.where(is_toxic, toxic_share, 1 - toxic_share)
     sizes = np.where(is_toxic, max(is_toxic.sum(), 1), max((~is_toxic).sum(), 1))
-    model.platt = _platt(top, is_toxic.astype(float), shares / sizes * len(curve))
+    model.platt = _platt(features, is_toxic.astype(float), shares / sizes * len(curve))
     return model
 
 
