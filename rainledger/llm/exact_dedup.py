@@ -51,7 +51,8 @@ def _merge(runs: DataFrame, best) -> DataFrame:
 def merge_tree(rows: DataFrame, keep_largest: bool, fan_in: int = FAN_IN) -> DataFrame:
     """Digest, identifier that stays and number of rows, merged in rounds of ``fan_in`` runs."""
     best = F.max if keep_largest else F.min
-    level = _merge(rows.withColumns({"entry": F.struct("doc_id"), "members": F.lit(1).cast("long")}), best)
+    known = F.col("doc_id").isNotNull() if keep_largest else F.col("doc_id").isNull()  # a row without id comes last
+    level = _merge(rows.withColumns({"entry": F.struct(known.alias("order"), "doc_id"), "members": F.lit(1).cast("long")}), best)
     runs = (rows.agg(F.max("run").alias("last")).first()["last"] or 0) + 1
     while runs > 1:
         level = _merge(level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")), best)

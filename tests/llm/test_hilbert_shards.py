@@ -1,0 +1,55 @@
+import zlib
+from collections import Counter
+from itertools import product
+
+from pyspark.sql import functions as F
+
+from edge_rows import EDGES, frame
+from rainledger.llm.hilbert_shards import hilbert_index, shard_plan, write_shards
+
+
+def test_curve_visits_each_cell_once_in_unit_steps(spark):
+    for dims, bits in ((2, 3), (3, 3)):
+        cells = spark.createDataFrame(list(product(range(1 << bits), repeat=dims)), [f"c{i}" for i in range(dims)])
+        rows = cells.withColumn("h", hilbert_index([F.col(c) for c in cells.columns], bits)).orderBy("h").collect()
+        assert [r["h"] for r in rows] == list(range(1 << (bits * dims)))
+        steps = [sum(abs(a - b) for a, b in zip(x[:dims], y[:dims], strict=True)) for x, y in zip(rows, rows[1:], strict=False)]
+        assert set(steps) == {1}
+
+
+def check(rows, plan, shards):
+    got = plan.collect()
+    want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    counts = Counter(r["shard"] for r in got)
+    sizes = [counts.get(s, 0) for s in range(shards)]
+    assert max(sizes) - min(sizes) <= 1
+    for s in range(shards):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sizes[s]))
+    order = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["curve"] for r in order] == sorted(r["curve"] for r in got)
+
+
+def test_edges(edges):
+    check(EDGES, shard_plan(edges, shards=4), 4)
+    check(EDGES, shard_plan(edges), 16)
+
+
+def test_hot_cell(spark):
+    rows = [(i, "same size", "en", "hot" if i % 2 else f"s{i}") for i in range(1003)]
+    check(rows, shard_plan(frame(spark, rows, 8)), 16)
+
+
+def test_empty(empty):
+    assert shard_plan(empty).collect() == []
+
+
+def test_files(spark, tmp_path):
+    docs = frame(spark, [(i, "x" * (i % 50), "en", f"s{i % 5}") for i in range(200)]).drop("shard")
+    plan = shard_plan(docs, shards=4)
+    write_shards(docs, plan, f"{tmp_path}/out")
+    assert {r["shard"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/out").groupBy("shard").count().collect()} == {s: 50 for s in range(4)}
+
+
+def test_no_python_in_plan(edges):
+    assert "Python" not in shard_plan(edges)._jdf.queryExecution().toString()
