@@ -8,10 +8,11 @@ from collections import Counter
 import duckdb
 from pyspark.sql import DataFrame
 
+# The given tables.
 TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
-    "labels conversations"
-).split()
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+    "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from rainledger.functions.dates import DAY_FIRST, parse_date
 from rainledger.functions.text import fold
-from rainledger.operators.lookup import join_lookup, measured_bytes
-from rainledger.operators.quality import Split, clean_rules, split
+from rainledger.operators.lookup import join_lookup
+from rainledger.operators.quality import Rule, Split, clean_rules, reject_reason, split
+from rainledger.operators.weather import combined_weather_any
 from rainledger.sources.schemas import CLEAN_COLUMNS, ORDERS_RAW
 
 
@@ -72,38 +73,64 @@ def sales_weather_joined(
     orders: DataFrame, temperature: DataFrame, humidity: DataFrame, description: DataFrame
 ) -> DataFrame:
     """Every line; its weather stays NULL where a table has no row for date and city."""
-    tables = {
-        "temperature": temperature,
-        "humidity": humidity,
-        "weather_condition": description.select(
-            "date", "city", F.col("description").alias("weather_condition")
-        ),
-    }
-    sizes = measured_bytes(tables)
-    joined = orders
-    for name, table in tables.items():
-        joined = on_weather(joined, table, "left", "order_date", sizes[name])
+    lookup = combined_weather_any(temperature, humidity, description).withColumnRenamed(
+        "description", "weather_condition"
+    )
+    joined = on_weather(orders, lookup, "left", "order_date")
     return joined.select(*orders.columns, "temperature", "humidity", "weather_condition")
 
 
-def typed_sales_weather(enriched: DataFrame) -> DataFrame:
-    """The 24 columns of the clean table, plus the raw ship date the checks look at."""
-    typed = enriched.withColumns(
+def typed_lines(dated: DataFrame, *more: str) -> DataFrame:
+    """The columns of the clean table as typed ones, plus the raw dates that the checks look at and ``more``."""
+    typed = dated.withColumns(
         {
+            "order_date_text": F.col("order_date"),
+            "ship_date_text": F.col("ship_date"),
             "row_id": F.col("row_id").cast("string"),
             "order_date": F.col("order_date_proper"),
             "ship_date": F.col("ship_date_proper"),
-            "ship_date_text": F.col("ship_date"),
-            "weather_description": F.col("description"),
         }
     )
-    return typed.select(*[c for c in CLEAN_COLUMNS if c in typed.columns], "ship_date_text")
+    if "description" in dated.columns:
+        typed = typed.withColumn("weather_description", F.col("description"))
+    return typed.select(*[c for c in CLEAN_COLUMNS if c in typed.columns], "order_date_text", "ship_date_text", *more)
+
+
+def line_rules() -> list[Rule]:
+    """The rules of the clean table; an order date that can't be read isn't called missing."""
+    there, read = F.col("order_date_text").isNotNull(), F.col("order_date").isNotNull()
+    own = [Rule("order_date is missing", there | read), Rule("order_date is not a date", ~there | read)]
+    names = {rule.name for rule in own}
+    return [*[rule for rule in clean_rules() if rule.name not in names], *own]
+
+
+def split_lines(dated: DataFrame) -> Split:
+    """Lines that keep all rules, and the others with their reasons, before any join.
+
+    A line whose date or city is missing or unreadable meets no weather, so the split comes first.
+    """
+    return split(typed_lines(dated), line_rules())
+
+
+def rejected_lines(dated: DataFrame) -> DataFrame:
+    return split_lines(dated).rejected.select(
+        "row_id", "order_id", "order_date_text", "ship_date_text", "city", "reject_reason"
+    )
+
+
+def line_outcomes(dated: DataFrame, weather: DataFrame) -> DataFrame:
+    """Number of lines for each end a line can take: clean, without weather, or a reason for its rejection."""
+    cells = weather.select(F.col("date").alias("order_date"), "city").distinct().withColumn("found", F.lit(True))
+    judged = typed_lines(dated).withColumn("reject_reason", reject_reason(line_rules()))
+    joined = join_lookup(judged, cells, ["order_date", "city"], "left")
+    end = F.coalesce("reject_reason", F.when(F.col("found"), F.lit("clean")).otherwise("without weather"))
+    return joined.groupBy(end.alias("outcome")).agg(F.count("*").alias("n_rows"))
 
 
 def split_sales_weather(enriched: DataFrame) -> Split:
-    """Clean lines, and the lines that break a rule together with the reasons."""
-    return split(typed_sales_weather(enriched), clean_rules())
+    """Clean lines with weather, and the lines with weather that break a rule, with the reasons."""
+    return split(typed_lines(enriched), line_rules())
 
 
 def sales_weather_clean(enriched: DataFrame) -> DataFrame:
-    return split_sales_weather(enriched).accepted.drop("ship_date_text")
+    return split_sales_weather(enriched).accepted.drop("order_date_text", "ship_date_text")

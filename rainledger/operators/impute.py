@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainledger.operators.lookup import join_lookup, measured_bytes
-from rainledger.sources.schemas import MEAN_READING
+from rainledger.shared import kept
+from rainledger.sources.schemas import MEAN_READING, SUM_READING
 
 TEXT = "description"
 # Rung name -> the line's columns it is looked up by, nearest rung first.
@@ -42,37 +43,59 @@ def _readings(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
 
 
-def _mean_reading(name: str) -> Column:
-    return (F.try_divide(F.sum(name), F.count(name))).cast(MEAN_READING)
+def _sums(name: str) -> list[Column]:
+    if name == TEXT:
+        return [F.min(name).alias(name)]
+    return [
+        F.max(name).alias(f"max_{name}"),
+        F.sum(name).alias(f"sum_{name}"),
+        F.count(name).alias(f"count_{name}"),
+    ]
+
+
+def _rolled_up(name: str) -> list[Column]:
+    if name == TEXT:
+        return [F.min(name).alias(name)]
+    return [
+        F.sum(f"sum_{name}").cast(SUM_READING).alias(f"sum_{name}"),
+        F.sum(f"count_{name}").alias(f"count_{name}"),
+    ]
+
+
+def _value(name: str, rung: str) -> Column:
+    if name == TEXT:
+        found = F.col(name)
+    elif rung == "city":
+        found = F.col(f"max_{name}")
+    else:
+        found = F.try_divide(F.col(f"sum_{name}"), F.col(f"count_{name}"))
+    return (found if name == TEXT else found.cast(MEAN_READING)).alias(f"{rung}_{name}")
 
 
 def rungs(tables: dict[str, DataFrame], reference: DataFrame) -> dict[str, DataFrame]:
-    """One lookup per rung holding ``<rung>_<measure>`` for every measure.
+    """One stored lookup per rung holding ``<rung>_<measure>`` for every measure.
 
-    A city listed under several states of a region counts once for each of them in the
-    region's mean.
+    The readings are summed up once per day and city; days and states add those sums up, and regions
+    those of their states. A city listed under several states of a region counts once for each of them
+    in the region's mean. Each step is written once, so nothing is computed again by the size check or the joins.
     """
-    readings = _readings(tables)
-    places = readings.join(reference, "city")
-
-    def lookup(source: DataFrame, rung: str) -> DataFrame:
-        def value(name: str) -> Column:
-            if name == TEXT:
-                return F.min(name)
-            return F.max(name).cast(MEAN_READING) if rung == "city" else _mean_reading(name)
-
-        keys = RUNGS[rung]
-        return (
-            source.dropna(subset=keys)
-            .groupBy(*keys)
-            .agg(*[value(name).alias(f"{rung}_{name}") for name in tables])
-        )
 
+    def rolled(source: DataFrame, rung: str, *keys: str) -> DataFrame:
+        sums = [c for name in tables for c in _rolled_up(name)]
+        return kept(source.dropna(subset=RUNGS[rung]).groupBy(*RUNGS[rung], *keys).agg(*sums), f"{rung}-sums")
+
+    sums = [c for name in tables for c in _sums(name)]
+    cells = kept(_readings(tables).groupBy("order_date", "city").agg(*sums), "city-sums")
+    states = rolled(cells.join(reference, "city"), "state", "region")
+    sources = {
+        "city": cells,
+        "state": rolled(states, "state"),
+        "region": rolled(states, "region"),
+        "date": rolled(cells, "date"),
+    }
     return {
-        "city": lookup(readings, "city"),
-        "state": lookup(places, "state"),
-        "region": lookup(places, "region"),
-        "date": lookup(readings, "date"),
+        rung: source.dropna(subset=RUNGS[rung]).select(*RUNGS[rung], *[_value(name, rung) for name in tables])
+        for rung, source in sources.items()
     }
 
 
@@ -98,7 +121,7 @@ def impute(
     sizes = measured_bytes(lookups)
     found = orders
     for rung, keys in RUNGS.items():
-        found = join_lookup(found, lookups[rung], keys, "left", size=sizes[rung])
+        found = join_lookup(found, lookups[rung], keys, "left", size=sizes[rung], ready=True)
     filled = [F.coalesce(*[F.col(f"{r}_{name}") for r in RUNGS]).alias(name) for name in tables]
     if levels:
         filled += [_level(name).alias(f"{name}_level") for name in tables]

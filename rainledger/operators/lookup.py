@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from rainledger.shared import kept
+
 LIMIT_SETTING = "rainledger.broadcast.limitBytes"
 DEFAULT_LIMIT = 64 * 1024 * 1024
 _ROW_OVERHEAD = 32
@@ -41,14 +43,18 @@ def join_lookup(
     on: list[str],
     how: str = "inner",
     size: int | None = None,
+    ready: bool = False,
 ) -> DataFrame:
     """Broadcast the lookup when its counted size allows it.
 
-    Beyond the limit the join is left to Catalyst: a shuffle on ``on``, in which adaptive
-    execution splits the tasks of a hot key, since each lookup key holds one row.
+    Beyond the limit the join shuffles on ``on``. Adaptive execution splits the tasks of a hot key
+    only if both sides are bare shuffles, so a lookup that is computed is stored first; ``ready`` says
+    that it is a stored table already. The lines get an exchange of their own for the same reason.
     """
     if size is None:
         size = measured_bytes({"lookup": lookup})["lookup"]
     if size <= broadcast_limit(lines.sparkSession):
-        lookup = F.broadcast(lookup)
+        return lines.join(F.broadcast(lookup), on, how)
+    if not ready:
+        lookup = kept(lookup, "lookup")
     return lines.join(lookup, on, how)

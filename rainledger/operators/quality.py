@@ -72,9 +72,20 @@ def outcome_counts(table: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return table.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n_rows"))
 
 
-def check_unique(table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Key values that occur more than once."""
-    return table.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") > 1)
+def check_unique(table: DataFrame, keys: Sequence[str], primary: bool = False) -> DataFrame:
+    """Key values that occur more than once.
+
+    A unique rule lets keys with a NULL part repeat; a primary key refuses them, even a single one.
+    """
+    counted = table.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    whole = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
+    broken = whole & (F.col("n_rows") > 1)
+    return counted.filter(broken | ~whole if primary else broken)
+
+
+def key_text(keys: Sequence[str]) -> Column:
+    """The parts of a key as one text in which a NULL part shows."""
+    return F.concat_ws("|", *[F.coalesce(F.col(key).cast("string"), F.lit("NULL")) for key in keys])
 
 
 def check_length(table: DataFrame, limits: dict[str, int] = TEXT_LIMITS) -> DataFrame:
@@ -129,10 +140,11 @@ def row_count(table: DataFrame) -> DataFrame:
     return table.agg(F.count("*").alias("n_rows"))
 
 
-def row_counts(steps: dict[str, DataFrame]) -> DataFrame:
-    """Number of rows after each named step."""
-    counts = [row_count(t).select(F.lit(name).alias("step"), "n_rows") for name, t in steps.items()]
-    return reduce(DataFrame.unionAll, counts)
+def row_counts(lines: DataFrame, steps: dict[str, Column]) -> DataFrame:
+    """Number of rows after each named step, in one pass: each step says how many rows a line gives."""
+    sums = lines.agg(*[F.coalesce(F.sum(rows.cast("long")), F.lit(0)).alias(name) for name, rows in steps.items()])
+    pairs = [F.struct(F.lit(name).alias("step"), F.col(name).alias("n_rows")) for name in steps]
+    return sums.select(F.inline(F.array(*pairs)))
 
 
 def weather_coverage(final: DataFrame) -> DataFrame:

@@ -23,6 +23,14 @@ def combined_weather_left(
     return temperature.join(humidity, KEYS, "left").join(description, KEYS, "left").select(*COLUMNS)
 
 
+def combined_weather_any(
+    temperature: DataFrame, humidity: DataFrame, description: DataFrame
+) -> DataFrame:
+    """Every cell that any of the three tables has: one lookup instead of three."""
+    both = temperature.join(humidity, KEYS, "full").join(description, KEYS, "full")
+    return both.select(*COLUMNS)
+
+
 def combined_weather_as_written(
     temperature: DataFrame, humidity: DataFrame, description: DataFrame
 ) -> DataFrame:

@@ -9,13 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DateType, DecimalType, IntegerType, ShortType
 
+from rainledger.functions.dates import MONTH_FIRST
 from rainledger.operators import enrich, impute, quality
 from rainledger.operators import weather as combine
+from rainledger.operators.lookup import join_lookup
 from rainledger.plans import final_reports as final_
 from rainledger.plans import weather_reports as weather_
 from rainledger.shared import new_folder
@@ -119,15 +122,12 @@ def check_unique(spark: SparkSession, sf: str) -> DataFrame:
         "city_state_reference": (source.reference(spark, sf), ["city", "state"]),
     }
     found = [
-        quality.check_unique(table, keys).select(
-            F.lit(name).alias("rule"), F.concat_ws("|", *keys).alias("key"), "n_rows"
+        quality.check_unique(table, keys, primary=not name.startswith("orders")).select(
+            F.lit(name).alias("rule"), quality.key_text(keys).alias("key"), "n_rows"
         )
         for name, (table, keys) in rules.items()
     ]
-    result = found[0]
-    for part in found[1:]:
-        result = result.unionAll(part)
-    return result
+    return reduce(DataFrame.unionAll, found)
 
 
 def check_length(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,15 +138,30 @@ def check_length(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def row_count(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.row_counts(
-        {
-            "orders_raw": source.raw_lines(spark, sf, products=False),
-            "combined_weather": source.weather_condition(spark, sf),
-            "sales_weather": enriched(spark, sf, products=False),
-            "sales_weather_clean": clean(spark, sf, products=False),
-            "slice": sliced(spark, sf, products=False),
-        }
-    )
+    """The steps of the lines in one pass over them, and the rows of the weather."""
+    weather = source.weather_condition(spark, sf)
+    cells = weather.groupBy(F.col("date").alias("order_date_proper"), "city").agg(F.count("*").alias("cells"))
+    lines = join_lookup(dated(spark, sf, products=False), cells, ["order_date_proper", "city"], "left")
+    cells_met = F.coalesce("cells", F.lit(0))
+    judged = enrich.typed_lines(lines.withColumn("cells_met", cells_met), "cells_met")
+    good = quality.reject_reason(enrich.line_rules()).isNull()
+    steps = {
+        "orders_raw": F.lit(1),
+        "sales_weather": F.col("cells_met"),
+        "sales_weather_clean": F.when(good, F.col("cells_met")).otherwise(0),
+        "slice": F.col("order_date").between(*[F.lit(day) for day in SLICE]).cast("int"),
+    }
+    combined = quality.row_count(weather).select(F.lit("combined_weather").alias("step"), "n_rows")
+    return quality.row_counts(judged, steps).unionAll(combined)
+
+
+def faulty(spark: SparkSession, sf: str) -> DataFrame:
+    return enrich.parse_dates(enrich.fold_city(source.faulty_lines(spark, sf)))
+
+
+def parse_dates_month_first(spark: SparkSession, sf: str) -> DataFrame:
+    lines = enrich.fold_city(source.month_first_lines(spark, sf))
+    return enrich.parse_dates(lines, MONTH_FIRST)
 
 
 def impute_one(spark: SparkSession, sf: str, measure: str) -> DataFrame:
@@ -203,6 +218,9 @@ QUERIES: dict[str, Query] = {
     "sales_weather_final": final,
     # cleaning and checks
     "parse_dates": dated,
+    "parse_dates_month_first": parse_dates_month_first,
+    "rejected_lines": lambda s, d: enrich.rejected_lines(faulty(s, d)),
+    "line_outcomes": lambda s, d: enrich.line_outcomes(faulty(s, d), source.weather_condition(s, d)),
     "sales_weather_clean": clean,
     "slice_by_date": sliced,
     "date_range": lambda s, d: enrich.date_range(source.orders(s, d, products=False)),

@@ -6,10 +6,13 @@ Inputs: ``enriched`` is ``sales_weather``, ``clean`` is ``sales_weather_clean``
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rainledger.functions.measures import mean, rounded_mean, total
+from rainledger.functions.text import fold
 from rainledger.operators.enrich import on_weather
 from rainledger.plans.report import report
 
@@ -72,7 +75,7 @@ def weather_on_high_sales_days(
 def top_product_clear_sky_by_region(
     dated: DataFrame, description: DataFrame, text: str = CLEAR
 ) -> DataFrame:
-    clear = description.filter(F.col("description").contains(text)).select("date", "city")
+    clear = description.filter(F.col("description").contains(fold(F.lit(text)))).select("date", "city")
     lines = on_weather(dated, clear, "inner", "order_date_proper")
     totals = report(lines, ["region", "product_name"], [total("sales").alias("total_sales")])
     best = Window.partitionBy("region").orderBy(F.desc("total_sales"))
@@ -110,7 +113,9 @@ def customers_below_region_avg(dated: DataFrame) -> DataFrame:
 
 
 def monthly_sales_temp_by_city(dated: DataFrame, temperature: DataFrame, year: int = 2014) -> DataFrame:
-    in_year = dated.filter(F.year("order_date_proper") == year)
+    # A range of dates reaches the scans of both tables, year() would not.
+    first, last = F.lit(date(year, 1, 1)), F.lit(date(year, 12, 31))
+    in_year = dated.filter(F.col("order_date_proper").between(first, last))
     lines = on_weather(in_year, temperature, "inner", "order_date_proper")
     keys = ["city", F.month("order_date_proper").alias("month")]
     measures = [total("sales").alias("total_sales"), mean("temperature").alias("avg_temp")]
@@ -266,7 +271,7 @@ def ideal_weather_sales(
 
 
 def avg_sales_clear_sky(clean: DataFrame, text: str = CLEAR) -> DataFrame:
-    clear = clean.filter(F.col("weather_description") == text)
+    clear = clean.filter(F.col("weather_description") == fold(F.lit(text)))
     return report(clear, ["region"], [mean("sales").alias("avg_sales")])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 _WRITTEN: dict[tuple, str] = {}
+_DELETED_AT_EXIT: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,8 +28,30 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FALLBACK[app]
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new folder of this application; all of them are deleted when the application ends."""
+    own = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _DELETED_AT_EXIT:
+        path, files = _file_system(spark, own)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _DELETED_AT_EXIT.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def file_state(spark: SparkSession, *tables: str) -> tuple:
+    """Name, size and time of every file of the tables: what tells that an input has changed."""
+    state = []
+    for table in tables:
+        path, files = _file_system(spark, table)
+        found = files.listStatus(path) if files.exists(path) else []
+        state += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found]
+    return tuple(sorted(state))
 
 
 def stored(
@@ -37,15 +60,24 @@ def stored(
     name: str,
     schema: StructType,
     build: Callable[[], DataFrame],
+    state: tuple = (),
 ) -> DataFrame:
-    """Write ``build()`` once per application and source folder, then read it back.
+    """Write ``build()`` once per application and state of its source, then read it back.
 
     The written table cuts the lineage and gives Catalyst the true size of the files,
-    so every later query on it plans from facts instead of join estimates.
+    so every later query on it plans from facts instead of join estimates. ``state`` is the
+    ``file_state`` of the input: other files, sizes or times make a new table.
     """
-    key = (spark.sparkContext.applicationId, source, name)
+    key = (spark.sparkContext.applicationId, source, name, state)
     if key not in _WRITTEN:
         path = new_folder(spark, name)
         build().select(*schema.fieldNames()).write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.schema(schema).parquet(_WRITTEN[key])
+
+
+def kept(table: DataFrame, name: str) -> DataFrame:
+    """Write a table to a new folder and read it back."""
+    path = new_folder(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql.types import DateType, IntegerType, LongType, StructField, Stru
 from rainledger.operators.impute import city_state_reference
 from rainledger.operators.enrich import fold_city, parse_dates
 from rainledger.operators.weather import combined_weather_left
-from rainledger.shared import stored
+from rainledger.shared import file_state, stored
 from rainledger.sources import readers, schemas
 
 FIRST_DAY = "1995-01-01"
@@ -23,18 +23,25 @@ TEXTS = ("sky is clear", "scattered clouds", "light rain", "mist", "snow", None)
 PRODUCT_COLUMNS = ("category", "sub_category", "product_name")
 
 
-_SCHEMAS: dict[tuple[str, str], StructType] = {}
+# The tables that the weather and place tables are derived from.
+INPUTS = ("orders", "customer", "nation", "region", "lineitem")
+
+_SCHEMAS: dict[tuple, StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; its footers are read for the schema only once per application."""
+    """A driver table; its footers are read for the schema only once per state of its files."""
     path = f"{sf_dir}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    key = (spark.sparkContext.applicationId, path, file_state(spark, path))
     if key not in _SCHEMAS:
         _SCHEMAS[key] = spark.read.parquet(path).schema
     return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    return file_state(spark, *[f"{sf_dir}/{name}.parquet" for name in INPUTS])
+
+
 def _city_number() -> Column:
     return F.col("c_nationkey") * 3 + F.col("c_custkey") % 4
 
@@ -102,6 +109,24 @@ def raw_lines(spark: SparkSession, sf_dir: str, products: bool = True) -> DataFr
     )
 
 
+def month_first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines with both dates printed month first with a full year."""
+    return typed_lines(spark, sf_dir).withColumns(
+        {name: F.date_format(name, "M/d/yyyy") for name in ("order_date", "ship_date")}
+    )
+
+
+def faulty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw lines, some of them with an unreadable or missing date, no city, or no quantity."""
+    row = F.col("row_id")
+    spoiled = {
+        "order_date": F.when(row % 103 != 5, F.when(row % 101 == 7, "soon").otherwise(F.col("order_date"))),
+        "city": F.when(row % 107 != 11, F.col("city")),
+        "quantity": F.when(row % 109 == 13, 0).otherwise(F.col("quantity")),
+    }
+    return raw_lines(spark, sf_dir).withColumns(spoiled)
+
+
 def orders(spark: SparkSession, sf_dir: str, products: bool = True) -> DataFrame:
     """Typed lines with the city folded for the joins."""
     return fold_city(typed_lines(spark, sf_dir, products))
@@ -176,7 +201,7 @@ def _stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = StructType(
         [StructField("date", DateType()), StructField("c", LongType()), StructField("dn", IntegerType())]
     )
-    return stored(spark, sf_dir, "cells", schema, lambda: _cells(spark, sf_dir))
+    return stored(spark, sf_dir, "cells", schema, lambda: _cells(spark, sf_dir), _state(spark, sf_dir))
 
 
 def weather(spark: SparkSession, sf_dir: str, measure: str) -> DataFrame:
@@ -188,6 +213,7 @@ def weather(spark: SparkSession, sf_dir: str, measure: str) -> DataFrame:
         measure,
         schema,
         lambda: _delivered(_stored_cells(spark, sf_dir), measure),
+        _state(spark, sf_dir),
     )
     if measure == "description":
         return readers.daily_texts(imported)
@@ -206,6 +232,7 @@ def weather_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
         "weather_condition",
         schemas.COMBINED_WEATHER,
         lambda: combined_weather_left(**weather_tables(spark, sf_dir)),
+        _state(spark, sf_dir),
     )
 
 
@@ -217,4 +244,5 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
         "city_state_reference",
         schemas.CITY_STATE_REFERENCE,
         lambda: city_state_reference(orders(spark, sf_dir, products=False)),
+        _state(spark, sf_dir),
     )

@@ -18,6 +18,7 @@ READING = DecimalType(10, 2)
 FRACTION = DecimalType(5, 2)
 # Average of readings: four more decimals than the readings themselves.
 MEAN_READING = DecimalType(14, 6)
+SUM_READING = DecimalType(20, 2)
 
 # Column names and text lengths of the order-line table.
 TEXT_LIMITS = {

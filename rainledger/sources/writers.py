@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -24,8 +26,8 @@ CLEAN = StructType(
 def write_clean(clean: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Parquet folders per order year, sorted inside by weather text and region.
 
-    A date filter then skips folders and a weather filter skips row groups. The rebalance
-    hint lets adaptive execution split a heavy year and join up light ones.
+    A period given to ``read_clean`` then skips folders and a weather filter skips row groups. The
+    rebalance hint lets adaptive execution split a heavy year and join up light ones.
     """
     by_year = clean.select(*CLEAN_COLUMNS).withColumn("order_year", F.year("order_date"))
     spread = by_year.hint("rebalance", "order_year")
@@ -33,5 +35,21 @@ def write_clean(clean: DataFrame, path: str, mode: str = "errorifexists") -> Non
     layout.write.mode(mode).partitionBy("order_year").parquet(path)
 
 
-def read_clean(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CLEAN).parquet(path)
+def write_rejected(rejected: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Lines with their reject_reason, beside the clean table."""
+    rejected.write.mode(mode).parquet(path)
+
+
+def read_clean(
+    spark: SparkSession, path: str, first: date | None = None, last: date | None = None
+) -> DataFrame:
+    """The clean table, or its lines from ``first`` to ``last``, both included.
+
+    The folders are named by year, so a period is stated as years too: only their folders are read.
+    """
+    clean = spark.read.schema(CLEAN).parquet(path)
+    if first is not None:
+        clean = clean.filter((F.col("order_year") >= first.year) & (F.col("order_date") >= F.lit(first)))
+    if last is not None:
+        clean = clean.filter((F.col("order_year") <= last.year) & (F.col("order_date") <= F.lit(last)))
+    return clean
