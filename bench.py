@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import DataFrame  # noqa: E402
 
-from rainledger.operators import quality  # noqa: E402
+from rainledger.operators import enrich, quality  # noqa: E402
 from rainledger.plans import catalogue  # noqa: E402
 from rainledger.plans import final_reports as final_  # noqa: E402
 from rainledger.plans import weather_reports as weather_  # noqa: E402
@@ -54,11 +54,11 @@ def main() -> None:
         return spark.read.parquet(folders[name])
 
     watch.time("import_weather", lambda: source.weather_condition(spark, sf_dir))
-    watch.time("import_reference", lambda: source.reference(spark, sf_dir))
     dated = build("orders", lambda: catalogue.dated(spark, sf_dir))
+    watch.time("import_reference", lambda: source.reference(spark, sf_dir, dated))
     enriched = build("sales_weather", lambda: catalogue.enriched(spark, sf_dir))
     watch.time(
-        "build_clean", lambda: writers.write_clean(catalogue.clean(spark, sf_dir), folders["clean"])
+        "build_clean", lambda: writers.write_clean(enrich.sales_weather_clean(enriched), folders["clean"])
     )
     clean = writers.read_clean(spark, folders["clean"])
     final = build("final", lambda: catalogue.final(spark, sf_dir))

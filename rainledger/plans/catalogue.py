@@ -276,7 +276,7 @@ QUERIES: dict[str, Query] = {
     "ideal_weather_sales": lambda s, d: weather_.ideal_weather_sales(clean(s, d)),
     "avg_sales_clear_sky": lambda s, d: weather_.avg_sales_clear_sky(clean(s, d, products=False)),
     # reports on all lines of the period; those without a weather column take the lines as they are,
-    # because filling in weather neither adds nor drops a line
+    # because filling in weather neither adds nor drops a line (tests/test_shortcuts.py)
     "top_products_by_profit": lambda s, d: final_.top_products_by_profit(sliced(s, d)),
     "weather_impact": lambda s, d: final_.weather_impact(
         final(s, d, "description", products=False)

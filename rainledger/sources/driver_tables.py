@@ -236,13 +236,13 @@ def weather_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The (city, state, region) table, written once."""
+def reference(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """The (city, state, region) table, written once; from stored ``lines`` if there are any."""
     return stored(
         spark,
         sf_dir,
         "city_state_reference",
         schemas.CITY_STATE_REFERENCE,
-        lambda: city_state_reference(orders(spark, sf_dir, products=False)),
+        lambda: city_state_reference(orders(spark, sf_dir, products=False) if lines is None else lines),
         _state(spark, sf_dir),
     )

@@ -4,9 +4,11 @@ from contextlib import contextmanager
 from datetime import date
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from rainledger.operators import enrich, quality
+
+from rainledger.operators import enrich, impute, quality, weather
 from rainledger.operators.lookup import LIMIT_SETTING
 from rainledger.sources import schemas, writers
 
@@ -41,27 +43,62 @@ def readings(spark):
     return days.select("date", cities).withColumn("temperature", F.lit(Decimal("280.00")))
 
 
-def test_hot_day_is_split_when_the_weather_is_too_large_to_broadcast(spark):
-    def joined():
-        return enrich.on_weather(lines(spark), readings(spark), "left", "order_date")
+SPLIT = {
+    LIMIT_SETTING: "0",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+}
 
-    def summary(frame):
-        return frame.agg(F.count("*"), F.count("temperature"), F.sum(F.xxhash64("ballast", "temperature") % 1000)).first()
-
-    small = summary(joined())
-    large = {
-        LIMIT_SETTING: "0",
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+
+def placed(spark):
+    """The lines with a state and a region; the hot day has one of each."""
+    return lines(spark).withColumns({"state": F.concat(F.lit("s-"), "city"), "region": F.when(F.col("city") == "rome", "r").otherwise("q")})
+
+
+def weather_tables(spark):
+    found = readings(spark)
+    return {
+        "temperature": found,
+        "humidity": found.withColumnRenamed("temperature", "humidity"),
+        "description": found.select("date", "city", F.lit("mist").alias("description")),
     }
-    with settings(spark, large):
-        frame = joined().groupBy("city").agg(F.bit_xor(F.xxhash64("ballast")), F.count("temperature"))
+
+
+def joined(spark):
+    return enrich.on_weather(lines(spark), readings(spark), "left", "order_date")
+
+
+def three_tables(spark):
+    return enrich.sales_weather_joined(lines(spark), **weather_tables(spark))
+
+
+def combined_on_the_fly(spark):
+    dated = lines(spark).withColumn("order_date_proper", F.col("order_date"))
+    return enrich.sales_weather(dated, weather.combined_weather_left(**weather_tables(spark)))
+
+
+def filled(spark):
+    reference = impute.city_state_reference(placed(spark))
+    return impute.sales_weather_final(placed(spark), weather_tables(spark), reference)
+
+
+@pytest.mark.parametrize(("build", "joins"), [(joined, 1), (three_tables, 1), (combined_on_the_fly, 1), (filled, 4)])
+def test_hot_day_is_split_when_the_weather_is_too_large_to_broadcast(spark, build, joins):
+    def summary(frame):
+        values = [c for c in frame.columns if c not in ("ballast", "row_id")]
+        return frame.agg(F.count("*"), *[F.count(c) for c in values], F.bit_xor(F.xxhash64(*frame.columns))).first()
+
+    small = summary(build(spark))
+    with settings(spark, SPLIT):
+        frame = build(spark)
+        frame = frame.groupBy("city").agg(F.bit_xor(F.xxhash64(*frame.columns)))
         frame.collect()
-        assert "SortMergeJoin(skew=true)" in frame._jdf.queryExecution().executedPlan().toString()
-        assert summary(joined()) == small
-    assert small[0] == ROWS
+        plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("SortMergeJoin(skew=true)") == plan.count("SortMergeJoin") == joins
+        assert summary(build(spark)) == small
+    assert build in (combined_on_the_fly,) or small[0] == ROWS
 
 
 def test_copies_of_a_row_id_are_dropped_before_the_shuffle(spark):

@@ -5,8 +5,10 @@ from decimal import Decimal
 
 import pytest
 
+from rainledger import shared
 from rainledger.operators import enrich, quality, weather
 from rainledger.operators.lookup import LIMIT_SETTING, join_lookup, measured_bytes
+from rainledger.plans import weather_reports
 from rainledger.shared import shared_folder
 from rainledger.sources import readers, schemas, writers
 
@@ -154,7 +156,8 @@ def test_null_passes_a_range_rule_but_not_a_required_one(spark):
 
 def test_key_and_length_checks(spark):
     lines = raw(spark, {}, {"order_id": "O2"}, {"row_id": 2, "city": "x" * 51}, {"row_id": None}, {"row_id": None})
-    assert {r.row_id: r.n_rows for r in quality.check_unique(lines, ["row_id"]).collect()} == {1: 2, None: 2}
+    assert {r.row_id: r.n_rows for r in quality.check_unique(lines, ["row_id"]).collect()} == {1: 2}
+    assert {r.row_id: r.n_rows for r in quality.check_unique(lines, ["row_id"], primary=True).collect()} == {1: 2, None: 2}
     too_long = {r.column_name: (r.longest, r.too_long) for r in quality.check_length(lines).collect()}
     assert too_long["city"] == (51, 1)
     assert too_long["state"] == (2, 0)
@@ -213,3 +216,97 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         assert shared_folder(spark) == named.rstrip("/")
+
+
+def test_null_in_a_key_part_is_told_apart(spark):
+    keys = spark.createDataFrame([("a", None), ("a", None), (None, "a"), ("a", "b"), ("a", "b"), ("c", "d")], "x string, y string")
+
+    def found(primary):
+        rows = quality.check_unique(keys, ["x", "y"], primary).select(quality.key_text(["x", "y"]), "n_rows").collect()
+        return {tuple(r) for r in rows}
+
+    assert found(False) == {("a|b", 2)}
+    assert found(True) == {("a|b", 2), ("a|NULL", 2), ("NULL|a", 1)}
+
+
+def test_no_line_vanishes_between_orders_and_clean_table(spark, weather_tables):
+    lines = dated(
+        spark,
+        {},
+        {"row_id": 2, "order_date": "soon"},
+        {"row_id": 3, "order_date": None},
+        {"row_id": 4, "city": None},
+        {"row_id": 5, "city": "Nowhere"},
+        {"row_id": 6, "quantity": 0},
+    )
+    combined = weather.combined_weather_left(*weather_tables)
+    accepted, rejected = enrich.split_lines(lines)
+    assert {r.row_id: r.reject_reason for r in rejected.collect()} == {
+        "2": "order_date is not a date",
+        "3": "order_date is missing",
+        "4": "city is missing",
+        "6": "quantity is not positive",
+    }
+    assert accepted.count() + rejected.count() == lines.count()
+    ends = {r.outcome: r.n_rows for r in enrich.line_outcomes(lines, combined).collect()}
+    assert ends["clean"] == enrich.sales_weather_clean(enrich.sales_weather(lines, combined)).count() == 1
+    assert ends["without weather"] == 1 and sum(ends.values()) == lines.count()
+
+
+def test_unreadable_values_of_a_text_file_are_set_apart(spark, tmp_path):
+    header = ",".join(schemas.ORDERS_RAW.fieldNames())
+    good = dict.fromkeys(schemas.ORDERS_RAW.fieldNames(), "x") | {"row_id": "1", "sales": "1.50", "quantity": "2", "discount": "0.10", "profit": "1.00"}
+    bad = [good | {"row_id": "2", "discount": "ten percent"}, good | {"row_id": "3", "profit": "99999999999.5"}, good | {"row_id": "4", "quantity": "two", "sales": ""}]
+    (tmp_path / "lines.csv").write_text("\n".join([header, *(",".join(r.values()) for r in [good, *bad])]))
+    accepted, rejected = readers.read_checked(spark, str(tmp_path), schemas.ORDERS_RAW)
+    assert accepted.schema == schemas.ORDERS_RAW
+    assert [(r.row_id, r.sales, r.discount) for r in accepted.collect()] == [(1, Decimal("1.50"), Decimal("0.10"))]
+    assert {r.row_id: (r.reject_reason, r.discount) for r in rejected.collect()} == {
+        "2": ("discount is unreadable", "ten percent"),
+        "3": ("profit is unreadable", "0.10"),
+        "4": ("quantity is unreadable", "0.10"),
+    }
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        readers.load_orders_raw(spark, str(tmp_path), "csv").collect()
+
+
+def test_a_period_of_the_clean_table_reads_only_its_years(spark, tmp_path):
+    days = [date(2013, 12, 31), date(2014, 1, 1), date(2014, 6, 1), date(2015, 1, 1)]
+    rows = [tuple(day if f.name == "order_date" else None for f in writers.CLEAN if f.name != "order_year") for day in days]
+    kinds = [f for f in writers.CLEAN if f.name != "order_year"]
+    clean = spark.createDataFrame(rows, schemas.StructType(kinds))
+    writers.write_clean(clean, str(tmp_path / "clean"))
+    found = writers.read_clean(spark, str(tmp_path / "clean"), date(2014, 1, 1), date(2014, 12, 31))
+    assert sorted(r.order_date for r in found.collect()) == days[1:3]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_year" in plan and "order_year" in plan.split("PartitionFilters")[1][:200]
+    assert writers.read_clean(spark, str(tmp_path / "clean")).count() == 4
+
+
+def test_year_of_a_report_reaches_the_scan(spark, tmp_path):
+    lines = dated(spark, {})
+    lines.write.parquet(str(tmp_path / "lines"))
+    spark.createDataFrame([(date(2014, 3, 5), "rome", Decimal(280))], schemas.TEMPERATURE).write.parquet(str(tmp_path / "t"))
+    found = weather_reports.monthly_sales_temp_by_city(
+        spark.read.parquet(str(tmp_path / "lines")), spark.read.parquet(str(tmp_path / "t")), 2014
+    )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(order_date_proper,2014-01-01)" in plan and "GreaterThanOrEqual(date,2014-01-01)" in plan
+
+
+def test_changed_input_makes_a_new_stored_table(spark, tmp_path):
+    source = str(tmp_path / "in")
+    schema = schemas.StructType([schemas.StructField("id", schemas.LongType())])
+
+    def build():
+        return shared.stored(spark, source, "t", schema, lambda: spark.read.parquet(source), shared.file_state(spark, source))
+
+    spark.range(3).write.parquet(source)
+    assert build().count() == build().count() == 3
+    spark.range(2).write.mode("append").parquet(source)
+    assert build().count() == 5
+
+
+def test_text_arguments_are_folded(spark):
+    clean = spark.createDataFrame([("r", "sky is clear", Decimal("2.00"))], "region string, weather_description string, sales decimal(10,2)")
+    assert weather_reports.avg_sales_clear_sky(clean, text=" Sky is Clear").count() == 1
