@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +21,10 @@ LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 _ENCODERS: dict = {}
+_LETTERS_THEN_MARKS = re.compile(rb"([a-z]+)[!-&(-/:-@[-`{-~]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -38,20 +42,27 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, words: Iterable[bytes]) -> None:
+        words = list(words)
+        for i in range(0, len(words), 8192):
+            part = words[i : i + 8192]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [text.translate(_LOWER).split() for text in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = set().union(*split)
-        words = list(new)
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+        known = self.known
+        new = set(filterfalse(known.__contains__, chain.from_iterable(split)))
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = set(chain.from_iterable(split))
+        # Letters and the marks after them never share a token: they are encoded apart, each once.
+        ends = {w: m.span(1)[1] for w in new if (m := _LETTERS_THEN_MARKS.fullmatch(w))}
+        parts = {p for w, end in ends.items() for p in (w[:end], w[end:])}
+        self._learn(filterfalse(known.__contains__, parts.union(new.difference(ends))))
+        known.update((w, known[w[:end]] + known[w[end:]]) for w, end in ends.items())
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def _path(tokenizer: str) -> str:
