@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain, filterfalse
 
@@ -41,13 +40,32 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.last_of_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        if suffix:
+            self.last_of_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
     def _learn(self, words: Iterable[bytes]) -> None:
-        words = list(words)
-        for i in range(0, len(words), 8192):
-            part = words[i : i + 8192]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
+        """Words of letters alone are one run for the tokenizer, whose last token is marked: many go in one call."""
+        together: list[bytes] = []
+        apart: list[bytes] = []
+        for word in words:
+            text = word.decode()
+            (together if text.isalpha() and text.lower().isalpha() else apart).append(word)
+        lines = [together[i : i + 512] for i in range(0, len(together), 512)]
+        for part, found in zip(lines, self._encoded([b" ".join(line) for line in lines]), strict=True):
+            ends = np.flatnonzero(self.last_of_word[found]) + 1
+            if len(ends) != len(part):
+                apart += part
+                continue
+            raw, starts = found.tobytes(), np.r_[0, ends[:-1]]
+            self.known.update(zip(part, (raw[4 * x : 4 * y] for x, y in zip(starts, ends, strict=True)), strict=True))
+        self.known.update(zip(apart, (ids.tobytes() for ids in self._encoded(apart)), strict=True))
+
+    def _encoded(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        for i in range(0, len(texts), 4096):
+            for found in self.tokenizer.encode_batch_fast([t.decode() for t in texts[i : i + 4096]], add_special_tokens=False):
+                yield np.array(found.ids, "<u4")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
