@@ -22,22 +22,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return tied.unionByName(own).where("a < b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Each node hangs on one centre, and no centre hangs on another: then the edges are the answer."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("leaf")), F.struct(F.col("b").alias("node"), F.lit(1).alias("leaf")))).alias("end"))
+    roles = ends.groupBy("end.node").agg(F.sum("end.leaf").alias("leaves"), F.min("end.leaf").alias("least"))
+    return roles.where((F.col("leaves") > 1) | ((F.col("leaves") == 1) & (F.col("least") == 0))).isEmpty()
+
+
 def connect(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest node) of every node of edges (a, b); nodes on no edge are left out.
+    """node and component (its smallest node) of every node of edges (a, b), but for the smallest nodes themselves.
 
     Each round is stored, so a lost executor costs no more than that round. Loops and repeated edges don't matter.
     """
-    kind = edges.schema["a"].dataType
-    current = keep(
-        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges"
-    )
-    mark = None
-    while True:
-        now = current.agg(F.count("*").alias("n"), F.expr("sum(CAST(xxhash64(a, b) AS DECIMAL(38,0)))").alias("h")).first()
-        if now == mark:
-            break
-        mark = now
-        if not now["n"]:
-            break
+    current = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    current = keep(current, "edges")
+    while not _settled(current):
         current = keep(_star(_star(current, large=True), large=False), "edges")
-    return current.select(F.col("b").cast(kind).alias("node"), F.col("a").cast(kind).alias("component"))
+    return current.select(F.col("b").alias("node"), F.col("a").alias("component"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rainledger.llm.tables import join_groups, keep
+from rainledger.llm.tables import documents, join_groups, keep
 
 FAN_IN = 8
 
@@ -84,8 +84,6 @@ def exact_duplicates(
 
 
 def op4_exact_dedup(spark, sf_dir):
-    from rainledger.llm.tables import documents
-
     return exact_duplicates(documents(spark, sf_dir))
 
 

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainledger.llm.components import connect
-from rainledger.llm.tables import documents, join_groups, join_sized, keep
+from rainledger.llm.tables import documents, join_groups, join_groups_sized, join_sized, keep
 from rainledger.llm.words import mixed, shingles, utf8_rows
 
 #: Buckets of a sketch, and the keys that a document gives to the banding.
 BUCKETS = 128
 KEYS = 32
 MANTISSA_BITS = 10
+#: Nodes of a block, about, and bytes of their sets; a task holds two blocks.
+BLOCK_ROWS = 256
+BLOCK_BYTES = 24 << 20
 #: Sets of so few shingles are linked only when equal, whatever the similarity from 0.75 on.
 TINY = 4
 #: Standard errors that an estimate may fall short of the threshold before a pair is given up.
@@ -125,16 +128,30 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return np.maximum(equal - expected, 0) / np.maximum(used, 1), used
 
 
-def _estimated(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Keep the pairs whose corrected estimate isn't MARGIN standard errors below the threshold."""
+def likely(
+    a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of pairs, and which are worth verifying.
+
+    Left out are pairs whose estimate is MARGIN standard errors below the threshold, and pairs that can't be linked:
+    an element of only one set changes one register at most, and linked sets differ in few elements.
+    """
+    found, used = estimate(a, b, size_a, size_b)
+    similarity = percent / 100
+    least = similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1))
+    differing = (a != b).sum(axis=1)
+    return found, (found >= least) & (differing * percent <= (100 - percent) * np.minimum(size_a, size_b))
+
+
+def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
+    """Keep the pairs that are worth verifying."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("sketch_a", "sketch_b"))
-                found, used = estimate(a, b, *(batch.column(c).to_numpy() for c in ("size_a", "size_b")))
-                least = similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1))
-                yield batch.select(["a", "b"]).filter(pa.array(found >= least))
+                _, good = likely(a, b, *(batch.column(c).to_numpy() for c in ("size_a", "size_b")), percent)
+                yield batch.select(["a", "b"]).filter(pa.array(good))
 
     kind = pairs.schema["a"].dataType.simpleString()
     return pairs.mapInArrow(check, f"a {kind}, b {kind}")
@@ -180,25 +197,124 @@ def _with_both(pairs: DataFrame, rows: DataFrame, **columns: str) -> DataFrame:
     return pairs
 
 
-def _candidates(live: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of a bucket's centres with its other nodes of another component, by the ratio of sizes too.
+def _stars(buckets: DataFrame, percent: int) -> DataFrame:
+    """Each bucket's smallest node with its other nodes, if the sizes of their sets allow a link."""
+    first = buckets.where(F.col("node") == F.col("first")).select("key", F.col("node").alias("a"), F.col("n").alias("n_a"))
+    rest = buckets.where(F.col("node") != F.col("first")).select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
+    close = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return first.join(rest, (first["key"] == rest["key"]) & close).select("a", "b").distinct()
 
-    Centres of turn 0 are the smallest nodes; later each node is one with a chance of 4**turn / members,
-    by a fixed hash. Those of earlier turns have left the bucket, as their pairs are settled.
+
+def _open_buckets(buckets: DataFrame, component: DataFrame) -> DataFrame:
+    """key, node and component of the buckets that the stars have not settled.
+
+    A bucket of two is settled, and so is one whose nodes are all in one component.
     """
-    is_centre = _centre(turn)
-    left = live.where(is_centre).select("key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    right = live.select("key", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), is_centre.alias("centre"))
-    apart = (F.col("cx") != F.col("cy")) & (~F.col("centre") | (F.col("x") < F.col("y")))
-    close = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    pairs = left.join(right, (left["key"] == right["key"]) & apart & close)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    placed = (
+        buckets.where("members > 2")
+        .join(component, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+    )
+    spread = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    still_open = spread.where("least < most").select("key")
+    return placed.select("key", "node", "component").join(still_open, "key", "left_semi")
+
+
+def _blocks(groups: DataFrame, by: str, octets: Column) -> DataFrame:
+    """Each node once per pair of blocks that it takes part in.
+
+    A group is dealt into blocks of about BLOCK_ROWS nodes and BLOCK_BYTES, so no task gets a whole large
+    one; each pair of blocks (p, q) is worked on by itself.
+    """
+    sizes = groups.groupBy(by).agg(F.count("*").alias("nodes"), F.sum(octets).alias("octets"))
+    count = F.greatest(F.ceil(F.col("nodes") / BLOCK_ROWS), F.ceil(F.col("octets") / BLOCK_BYTES)).cast("int")
+    several = keep(sizes.select(by, count.alias("blocks")).where("blocks > 1"), "large-groups")
+    dealt = (
+        join_sized(groups, several, [by], "left", F.lit(48))
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    )
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).drop("other", "blocks")
+
+
+class _Joined:
+    """Which rows hang together, at first those of one component."""
+
+    def __init__(self, component: pd.Series):
+        firsts: dict = {}
+        self.parent = [firsts.setdefault(c, i) for i, c in enumerate(component)]
 
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
 
-def _centre(turn: int) -> Column:
-    if turn == 0:
-        return F.col("node") == F.col("first")
-    return F.col("draw") * F.col("members") < F.lit(float(4**turn))
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.parent[i] = j
+        return i != j
+
+
+def _likely_of_blocks(rows: pd.DataFrame, percent: int) -> list[tuple]:
+    """Pairs that are likely by their sketches, as a forest: each likely pair of different components is tied by them.
+
+    All nodes of one or two blocks are compared; at most one pair per node is returned.
+    """
+    sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, BUCKETS)
+    sizes, nodes = rows["n"].to_numpy(np.int64), rows["node"].tolist()
+    component, block = pd.factorize(rows["component"])[0], rows["block"].to_numpy()
+    within = len(np.unique(block)) == 1
+    tied, pairs = _Joined(pd.Series(range(len(rows)))), []
+    for i in range(1, len(rows)):
+        fits = (component[:i] != component[i]) & (within | (block[:i] != block[i]))
+        fits &= 100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i])
+        others = np.flatnonzero(fits)
+        if len(others):
+            partners = _likely_partners(sketches, sizes, i, others, percent)
+            pairs += [(nodes[j], nodes[i]) for j in partners if tied.join(j, i)]
+    return pairs
+
+
+def _likely_partners(sketches: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """The rows worth verifying with row i, the nearest by estimate first."""
+    one = np.broadcast_to(sketches[i], (len(others), BUCKETS))
+    found, good = likely(one, sketches[others], np.full(len(others), sizes[i]), sizes[others], percent)
+    order = np.argsort(-found, kind="stable")
+    return others[order[good[order]]]
+
+
+def _links_of_blocks(rows: pd.DataFrame, percent: int) -> list[tuple]:
+    """Links that join different components among one block's nodes, or between two blocks' nodes.
+
+    The nearest by estimate come first, and a pair that earlier links have joined isn't looked at again; so there are
+    fewer links than nodes, and a pair is left out only if it is joined, far too different, or verified as no link.
+    """
+    sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, BUCKETS)
+    sizes = rows["n"].to_numpy(np.int64)
+    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    nodes, block = rows["node"].tolist(), rows["block"].to_numpy()
+    within = len(np.unique(block)) == 1
+    joined = _Joined(rows["component"])
+    parent = np.array(joined.parent)
+    links = []
+    order = np.argsort(-np.bincount(parent, minlength=len(rows))[parent], kind="stable")  # of large components first
+    for at, i in enumerate(order):
+        others = order[:at]
+        others = others if within else others[block[others] != block[i]]
+        others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
+        apart = np.array([j for j in others if joined.find(j) != joined.find(i)], int)
+        if not len(apart):
+            continue
+        for j in _likely_partners(sketches, sizes, i, apart, percent):
+            if joined.find(i) == joined.find(j):
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                joined.join(i, j)
+    return links
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -207,10 +323,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Documents are linked if 100 * intersection >= percent * union of their word-shingle sets; percent from 80 on.
 
     1. Sketch every text. Documents with equal sets are one node, named by the smallest doc_id.
-    2. Nodes that share a band key form a bucket. Buckets don't emit all their pairs: a turn compares a few
-       centres with the nodes that are still in other components, four times as many each turn, until a bucket lies in one component
-       or all its pairs are settled.
-    3. Pairs whose sketches are far too different are dropped; the others are verified on the full sets.
+    2. Nodes that share a band key form a bucket. First each bucket's smallest node is compared with its others.
+       Buckets of more than two nodes that this leaves in several components are dealt into pairs of blocks, which
+       tie likely pairs of different components together by their sketches; no list of all pairs is ever made.
+    3. Pairs whose sketches are far too different are passed over. The others, in trees dealt into blocks again, are
+       verified on the full sets.
     4. Links join components; component_id is the smallest doc_id of the component.
 
     - No words or NULL text: n_shingles 0, linked with nothing.
@@ -228,13 +345,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         join_groups(with_words.select("doc_id", "set_digest"), classes, "set_digest", "members").select("doc_id", "node"),
         "class-members",
     )
-    nodes = keep(
-        with_words.where(F.size("keys") > 0)
-        .join(classes.select("set_digest", F.col("node").alias("doc_id")), ["set_digest", "doc_id"], "left_semi")
-        .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "keys")
-        .dropDuplicates(["node"]),
-        "nodes",
-    )
+    copies = belongs.where(F.col("doc_id") != F.col("node")).select("doc_id").distinct()
+    nodes = join_sized(with_words.where(F.size("keys") > 0), keep(copies, "copies"), ["doc_id"], "left_anti", F.lit(48))
+    nodes = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "keys")
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = keep(
         keyed.groupBy("key")
@@ -242,45 +355,53 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .where("members > 1"),
         "shared-keys",
     )
-    draw = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    buckets = keep(
-        join_groups(keyed, shared, "key", "members").withColumn("draw", draw), "buckets"
-    )
+    buckets = keep(join_groups_sized(keyed, shared, "key", "members", 96), "buckets")
     links = _links(docs, nodes, buckets, size, percent)
     return _answer(rows, belongs, links)
 
 
 def _links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, size: int, percent: int) -> DataFrame:
-    """node and component of every node that is linked with another."""
+    """node and component of every node that is linked with a smaller one."""
+    kind = nodes.schema["node"].dataType.simpleString()
     in_buckets = keep(buckets.select("node").distinct(), "bucket-nodes")
-    component = in_buckets.select("node", F.col("node").alias("component")).where(F.lit(False))
-    sets, turn = None, 0
-    while True:
-        settled = reduce(lambda x, y: x | y, [_centre(t) for t in range(turn)], F.lit(False))
-        current = (
-            buckets.where(~settled)
-            .join(component, "node", "left")
-            .withColumn("component", F.coalesce("component", "node"))
-        )
-        spread = (
-            current.groupBy("key")
-            .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-            .where("least < most")
-        )
-        live = keep(current.join(spread.select("key"), "key", "left_semi"), f"live-{turn}")
-        if live.isEmpty():
-            return component
-        pairs = keep(_candidates(live, turn, percent), f"pairs-{turn}")
-        sketched = _with_both(pairs, nodes, sketch="sketch", n="size")
-        likely = keep(_estimated(sketched, percent / 100), f"likely-{turn}")
-        if sets is None:
-            sets = keep(set_rows(docs, in_buckets, size), "sets")
-        linked = keep(_verified(_with_both(likely, sets, shingles="set"), percent), f"links-{turn}")
-        edges = linked.unionByName(component.select(F.col("node").alias("b"), F.col("component").alias("a")))
-        component = connect(edges)
-        if live.where(F.col("members") > (4.0**turn if turn else 2)).isEmpty():
-            return component
-        turn += 1
+    sketches = join_sized(nodes.select("node", "n", "sketch"), in_buckets, ["node"], "left_semi", F.lit(48))
+    sketches = keep(sketches.dropDuplicates(["node"]), "bucket-sketches")
+
+    # Stars: the smallest node of each bucket with the others.
+    pairs = _with_both(_stars(buckets, percent), sketches, sketch="sketch", n="size")
+    near = keep(_estimated(pairs, percent), "likely-stars")
+    ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = keep(set_rows(docs, keep(ends, "star-nodes"), size), "star-sets")
+    starred = keep(_verified(_with_both(near, sets, shingles="set"), percent), "star-links")
+    component = connect(starred)
+
+    # Buckets that are left open: a forest of likely pairs by sketches, and its trees by full sets.
+    open_buckets = keep(_open_buckets(buckets, component).join(sketches, "node"), "open-buckets")
+
+    def tie(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_likely_of_blocks(rows, percent), columns=["a", "b"])
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_links_of_blocks(rows, percent), columns=["a", "b"])
+
+    met = _blocks(open_buckets, "key", F.octet_length("sketch")).groupBy("key", "p", "q")
+    ties = keep(met.applyInPandas(tie, f"a {kind}, b {kind}").distinct(), "likely-ties")
+    if ties.isEmpty():
+        return component
+    trees = connect(ties).withColumnRenamed("component", "tree")
+    trees = keep(trees.unionByName(trees.select(F.col("tree").alias("node"), "tree")).distinct(), "trees")
+    more_sets = keep(set_rows(docs, keep(trees.select("node").join(sets, "node", "left_anti"), "more-nodes"), size), "more-sets")
+    full = (
+        trees.join(sketches, "node")
+        .join(sets.unionByName(more_sets), "node")
+        .join(component, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+    )
+    grouped = _blocks(keep(full, "full-trees"), "tree", F.octet_length("shingles")).groupBy("tree", "p", "q")
+    more = keep(grouped.applyInPandas(link, f"a {kind}, b {kind}"), "block-links")
+    if more.isEmpty():
+        return component
+    return connect(more.unionByName(component.select(F.col("node").alias("b"), F.col("component").alias("a"))))
 
 
 def _answer(rows: DataFrame, belongs: DataFrame, component: DataFrame) -> DataFrame:

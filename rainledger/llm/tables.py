@@ -52,6 +52,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     return rows.join(F.broadcast(heavy), key).unionByName(marked.join(light, key))
 
 
+def join_groups_sized(rows: DataFrame, groups: DataFrame, key: str, size: str, row_bytes: int) -> DataFrame:
+    """``join_groups``, but the rows stay where they are while all groups together are of broadcast size."""
+    if groups.count() * row_bytes <= broadcast_limit(rows.sparkSession):
+        return rows.join(F.broadcast(groups), key)
+    return join_groups(rows, groups, key, size)
+
+
 def join_sized(rows: DataFrame, lookup: DataFrame, on: list[str], how: str, row_bytes: Column) -> DataFrame:
     """Join to a lookup that is broadcast only if its counted bytes stay below the library's limit."""
     size = lookup.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")).first()["bytes"]

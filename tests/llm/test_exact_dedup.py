@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from edge_rows import EDGES, frame
 from rainledger.llm.exact_dedup import digest_rows, exact_duplicates, merge_tree
@@ -42,6 +43,6 @@ def test_runs_are_merged_by_sorting(spark):
 
 
 def test_one_digest_for_two_texts_stops(spark):
-    rows = digest_rows(frame(spark, [(1, "a"), (2, "b")])).withColumn("digest", __import__("pyspark").sql.functions.lit(b"d"))
+    rows = digest_rows(frame(spark, [(1, "a"), (2, "b")])).withColumn("digest", F.lit(b"d"))
     with pytest.raises(Exception, match="one digest for two texts"):
         merge_tree(rows, True).collect()

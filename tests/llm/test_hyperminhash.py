@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 
 from edge_rows import EDGES, frame
+from rainledger.llm import hyperminhash
 from rainledger.llm.hyperminhash import BUCKETS, estimate, near_duplicates, registers
 from rainledger.llm.words import shingles
 
@@ -65,8 +67,10 @@ def test_near_copies_of_all_lengths(spark):
         assert got(frame(spark, rows, 6), size) == brute(rows, size, 80)
 
 
-def test_large_group_and_frequent_line(spark):
-    """Chains of near copies, and short texts that have one line in common but little else."""
+@pytest.mark.parametrize("block_rows", [16, 256])
+def test_large_group_and_frequent_line(spark, monkeypatch, block_rows):
+    """Chains of near copies, variants that are seldom linked directly, and short texts that have one line in common."""
+    monkeypatch.setattr(hyperminhash, "BLOCK_ROWS", block_rows)
     draw = random.Random(4)
     words = [f"w{i}" for i in range(80)]
     rows = [(i, " ".join(words)) for i in range(100)]
@@ -75,6 +79,8 @@ def test_large_group_and_frequent_line(spark):
         rows.append((i, " ".join(words)))
     line = "the line that every one of them has".split()
     rows += [(i, " ".join([*line, *(f"u{draw.randrange(5000)}" for _ in range(12))])) for i in range(300, 450)]
+    base = [f"b{i}" for i in range(120)]
+    rows += [(i, " ".join(changed(base, draw, 0.035))) for i in range(450, 560)]
     assert got(frame(spark, rows, 6), 4) == brute(rows, 4, 80)
 
 
