@@ -139,8 +139,11 @@ def likely(
     found, used = estimate(a, b, size_a, size_b)
     similarity = percent / 100
     least = similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1))
-    differing = (a != b).sum(axis=1)
-    return found, (found >= least) & (differing * percent <= (100 - percent) * np.minimum(size_a, size_b))
+    return found, (found >= least) & _can_link(a, b, size_a, size_b, percent)
+
+
+def _can_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    return (a != b).sum(axis=1) * percent <= (100 - percent) * np.minimum(size_a, size_b)
 
 
 def _estimated(pairs: DataFrame, percent: int) -> DataFrame:
@@ -258,27 +261,30 @@ class _Joined:
 
 
 def _likely_of_blocks(rows: pd.DataFrame, percent: int) -> list[tuple]:
-    """Pairs that are likely by their sketches, as a forest: each likely pair of different components is tied by them.
+    """Components with a likely pair between them by their sketches, as a forest that ties each such pair.
 
-    All nodes of one or two blocks are compared; at most one pair per node is returned.
+    All nodes of one or two blocks are compared; fewer pairs than components are returned.
     """
     sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, BUCKETS)
-    sizes, nodes = rows["n"].to_numpy(np.int64), rows["node"].tolist()
+    sizes, names = rows["n"].to_numpy(np.int64), rows["component"].tolist()
     component, block = pd.factorize(rows["component"])[0], rows["block"].to_numpy()
     within = len(np.unique(block)) == 1
-    tied, pairs = _Joined(pd.Series(range(len(rows)))), []
+    tied, pairs = _Joined(rows["component"]), []
     for i in range(1, len(rows)):
         fits = (component[:i] != component[i]) & (within | (block[:i] != block[i]))
         fits &= 100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i])
         others = np.flatnonzero(fits)
         if len(others):
             partners = _likely_partners(sketches, sizes, i, others, percent)
-            pairs += [(nodes[j], nodes[i]) for j in partners if tied.join(j, i)]
+            pairs += [(names[j], names[i]) for j in partners if tied.join(j, i)]
     return pairs
 
 
 def _likely_partners(sketches: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
     """The rows worth verifying with row i, the nearest by estimate first."""
+    others = others[_can_link(sketches[others], sketches[i], sizes[others], sizes[i], percent)]
+    if not len(others):
+        return others
     one = np.broadcast_to(sketches[i], (len(others), BUCKETS))
     found, good = likely(one, sketches[others], np.full(len(others), sizes[i]), sizes[others], percent)
     order = np.argsort(-found, kind="stable")
@@ -388,15 +394,12 @@ def _links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, size: int, per
     ties = keep(met.applyInPandas(tie, f"a {kind}, b {kind}").distinct(), "likely-ties")
     if ties.isEmpty():
         return component
-    trees = connect(ties).withColumnRenamed("component", "tree")
-    trees = keep(trees.unionByName(trees.select(F.col("tree").alias("node"), "tree")).distinct(), "trees")
+    trees = connect(ties).select(F.col("node").alias("component"), F.col("component").alias("tree"))
+    trees = trees.unionByName(trees.select(F.col("tree").alias("component"), "tree")).distinct()
+    open_nodes = open_buckets.select("node", "component").distinct()
+    trees = keep(open_nodes.join(trees, "component"), "trees")
     more_sets = keep(set_rows(docs, keep(trees.select("node").join(sets, "node", "left_anti"), "more-nodes"), size), "more-sets")
-    full = (
-        trees.join(sketches, "node")
-        .join(sets.unionByName(more_sets), "node")
-        .join(component, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-    )
+    full = trees.join(sketches, "node").join(sets.unionByName(more_sets), "node")
     grouped = _blocks(keep(full, "full-trees"), "tree", F.octet_length("shingles")).groupBy("tree", "p", "q")
     more = keep(grouped.applyInPandas(link, f"a {kind}, b {kind}"), "block-links")
     if more.isEmpty():
