@@ -1,8 +1,8 @@
-"""Repeated runs of lines, found as content-defined chunks and removed after byte comparison."""
+"""Repeated runs of lines, found as content-defined chunks and pairs of lines and removed after byte comparison."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainledger.llm.tables import documents, join_groups, join_sized, keep, let
@@ -13,6 +13,8 @@ BOUNDARY_DIGITS = 8
 LONG_LINE_WORDS = 50
 #: A heavy chunk's text is broadcast only up to this length, so that all of them together have a bound.
 HEAVY_TEXT_BYTES = 32 * 1024
+#: A short line at the edge of a run is a common one if it stands more than so many times as often as the pair it is in.
+COMMON_TIMES = 2
 
 
 def _is_long(line: Column, words: int) -> Column:
@@ -22,7 +24,7 @@ def _is_long(line: Column, words: int) -> Column:
 
 
 def chunks(text: Column, digits: int = BOUNDARY_DIGITS, long_words: int = LONG_LINE_WORDS) -> Column:
-    """Array of (pos, lines, body): the text cut at line ends that depend only on the lines around them.
+    """Array of (pos, first, lines, long, body): the text cut at line ends that depend only on the lines around them.
 
     A chunk ends after line i if the hash rolled over the hashes of lines i - 1 and i says so, before and after
     a long line, and at the end. Joined by line feeds the bodies give the text again.
@@ -44,7 +46,7 @@ def chunks(text: Column, digits: int = BOUNDARY_DIGITS, long_words: int = LONG_L
             count = F.element_at(t["ends"], k) - after
             body = F.array_join(F.slice(t["lines"], after + 1, count), "\n")
             return F.struct(
-                k.alias("pos"), count.alias("lines"), F.element_at(t["longs"], after + 1).alias("long"), body.alias("body")
+                k.alias("pos"), (after + 1).alias("first"), count.alias("lines"), F.element_at(t["longs"], after + 1).alias("long"), body.alias("body")
             )
 
         return F.transform(F.sequence(F.lit(1), F.size(t["ends"])), chunk)
@@ -66,20 +68,41 @@ def _row_key() -> Column:
     return F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
 
 
+def _lines() -> Column:
+    return F.split(F.coalesce("text", F.lit("")), "\n", -1)
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """One row per chunk of several lines or one long line."""
-    found = docs.select(_row_key().alias("row_key"), F.explode(chunks(F.coalesce("text", F.lit("")))).alias("chunk"))
-    body = F.col("chunk.body")
-    return found.where((F.col("chunk.lines") > 1) | F.col("chunk.long")).select(
-        F.xxhash64(body).alias("chunk_hash"),
-        F.octet_length(body).alias("octets"),
-        F.struct("row_key", "chunk.pos").alias("place"),
-        body.alias("body"),
+    """One row per chunk of several lines or one long line, and one per pair of lines that follow each other."""
+
+    def unit(pair: bool, pos: Column, chunk_hash: Column, body: Column) -> Column:
+        return F.struct(F.lit(pair).alias("pair"), pos.cast("int").alias("pos"), chunk_hash.alias("hash"), body.alias("body"))
+
+    def pairs(lines: Column) -> Column:
+        def pair(line: Column, i: Column) -> Column:
+            after = F.get(lines, i + 1)
+            return unit(True, i + 1, F.xxhash64(line, after), F.concat(line, F.lit("\n"), after))
+
+        return F.transform(F.slice(lines, 1, F.size(lines) - 1), pair)
+
+    several = F.filter(chunks(F.coalesce("text", F.lit(""))), lambda c: (c["lines"] > 1) | c["long"])
+    units = F.concat(
+        F.transform(several, lambda c: unit(False, c["pos"], F.xxhash64(c["body"]), c["body"])), let(_lines(), pairs)
+    )
+    found = docs.select(_row_key().alias("row_key"), F.explode(units).alias("unit"))
+    return found.select(
+        F.col("unit.hash").alias("chunk_hash"),
+        F.octet_length("unit.body").alias("octets"),
+        F.struct("row_key", "unit.pair", "unit.pos").alias("place"),
+        F.col("unit.body").alias("body"),
     )
 
 
 def repeated_places(docs: DataFrame) -> DataFrame:
-    """row_key and pos of every chunk whose bytes stand at an earlier place too (by doc_id, then position)."""
+    """row_key, pair, pos, body and number of places of every chunk and pair whose bytes stand at an earlier place too.
+
+    Places go by doc_id, then position: the number of the chunk, or of the first line of the pair.
+    """
     hashed = _occurrences(docs).select("chunk_hash", "octets")
     repeated = keep(
         hashed.groupBy("chunk_hash", "octets").agg(F.count("*").alias("members")).where("members > 1"), "chunk-hashes"
@@ -94,49 +117,147 @@ def repeated_places(docs: DataFrame) -> DataFrame:
         .where("members > 1")
         .withColumn("chunk_id", F.struct("chunk_hash", "octets"))
         .withColumn("joined_by", F.when(F.col("octets") <= HEAVY_TEXT_BYTES, F.col("members")).otherwise(F.lit(0)))
-        .select("chunk_id", F.col("body").alias("first_body"), "first_place", "joined_by"),
+        .select("chunk_id", F.col("body").alias("first_body"), "first_place", "members", "joined_by"),
         "chunk-firsts",
     )
     places = all_places.withColumn("chunk_id", F.struct("chunk_hash", "octets"))
     later = join_groups(places, firsts, "chunk_id", "joined_by").where(
         (F.col("body") == F.col("first_body")) & (F.col("place") != F.col("first_place"))
     )
-    return later.select("place.row_key", "place.pos")
+    return later.select("place.row_key", "place.pair", "place.pos", "body", "members")
+
+
+def _common_ends(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """The ends of pairs that are common short lines: they stand more than COMMON_TIMES times as often as the pair."""
+    lines = docs.select(F.explode(_lines()).alias("line")).where(~_is_long(F.col("line"), LONG_LINE_WORDS))
+    counts = keep(
+        lines.groupBy(F.xxhash64("line").alias("line_hash"))
+        .agg(F.count("*").alias("line_places"))
+        .where(F.col("line_places") > 2 * COMMON_TIMES),
+        "line-counts",
+    )
+    return join_groups(ends, counts, "line_hash", "line_places").where(
+        F.col("line_places") > COMMON_TIMES * F.col("members")
+    )
+
+
+def repeated_runs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row_key and run of each longest run of lines in which every pair stands at an earlier place too.
+
+    A run has its first and last line, and those left without common short lines at its edges (NULL if none is).
+    """
+    line = F.when(F.col("right"), F.substring_index("body", "\n", -1)).otherwise(F.substring_index("body", "\n", 1))
+    ends = keep(
+        pairs.withColumn("right", F.explode(F.array(F.lit(False), F.lit(True)))).select(
+            "row_key", "pos", "right", "members", F.xxhash64(line).alias("line_hash")
+        ),
+        "pair-ends",
+    )
+    marked = ends.select("row_key", "pos", "right", F.lit(False).alias("common")).unionByName(
+        _common_ends(docs, ends).select("row_key", "pos", "right", F.lit(True).alias("common"))
+    )
+    rows = marked.groupBy("row_key", "pos").agg(
+        F.max(~F.col("right") & F.col("common")).alias("left_common"), F.max(F.col("right") & F.col("common")).alias("right_common")
+    )
+    numbered = rows.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("row_key").orderBy("pos")))
+    left, right = F.when(~F.col("left_common"), F.col("pos")), F.when(~F.col("right_common"), F.col("pos") + 1)
+    runs = numbered.groupBy("row_key", "run").agg(
+        F.min("pos").alias("first"),
+        (F.max("pos") + 1).alias("last"),
+        F.min(F.least(left, right)).alias("first_own"),
+        F.max(F.greatest(left, right)).alias("last_own"),
+    )
+    return runs.select("row_key", F.struct("first", "last", "first_own", "last_own").alias("run"))
+
+
+def _removed_runs(lines: Column, runs: Column, gone_chunks: Column) -> Column:
+    """Array of (first, last) of the runs that go, see line_dedup."""
+
+    def goes(run: Column) -> Column:
+        words = F.aggregate(
+            F.slice(lines, run["first"], run["last"] - run["first"] + 1),
+            F.lit(0),
+            lambda n, line: n + F.size(F.filter(F.split(line, r"\s+"), lambda x: x != "")),
+        )
+        return (words >= LONG_LINE_WORDS) | F.exists(gone_chunks, lambda c: c["first"].between(run["first"], run["last"]))
+
+    def whole(run: Column) -> Column:
+        return (run["first"] == 1) & (run["last"] == F.size(lines))
+
+    def own(run: Column) -> Column:
+        return F.struct(run["first_own"].alias("first"), run["last_own"].alias("last"))
+
+    copies = F.transform(F.filter(runs, whole), lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last")))
+    parts = F.transform(F.filter(runs, lambda r: ~whole(r) & (r["last_own"] > r["first_own"])), own)
+    return F.concat(copies, F.filter(parts, goes))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """The documents with later occurrences of repeated chunks cut out of ``text``.
+    """The documents with later occurrences of repeated chunks and runs of lines cut out of ``text``.
 
-    Added columns: chunks_total, chunks_removed, bytes_removed, and emptied (something was cut and nothing is left).
+    Added columns: chunks_total, chunks_removed (nothing of them is left), bytes_removed, and emptied (something was cut
+    and nothing is left).
 
     - The first occurrence, by doc_id (NULL first) and position, stays; the rest of each text stays as it is.
     - A chunk of one line goes only if it has LONG_LINE_WORDS words or more; so common short lines stay.
+    - A run of two lines or more, each pair of which stands at an earlier place too, goes whole if it has LONG_LINE_WORDS
+      words or holds a chunk that goes, without the common short lines at its edges; it goes with them if it is the text.
     - NULL text stays NULL and an empty one empty: neither has a chunk to lose. n_chars follows a changed text.
     - Rows repeated whole are one row as to places: they keep and lose the same.
     - An empty table gives no rows. Input columns with the names of added ones give way.
     """
-    docs = docs.drop("chunks_total", "chunks_removed", "bytes_removed", "emptied", "removed_places", "row_key")
+    docs = docs.drop(
+        "chunks_total", "chunks_removed", "bytes_removed", "emptied", "removed_places", "removed_runs", "row_key", "rebuilt"
+    )
+    later = keep(repeated_places(docs), "chunk-later")
+    runs = repeated_runs(docs, later.where("pair").select("row_key", "pos", "body", "members"))
     removed = keep(
-        repeated_places(docs).groupBy("row_key").agg(F.collect_set("pos").alias("removed_places")), "chunk-removals"
+        later.where(~F.col("pair"))
+        .select("row_key", "pos")
+        .unionByName(runs, allowMissingColumns=True)
+        .groupBy("row_key")
+        .agg(F.collect_set("pos").alias("removed_places"), F.collect_list("run").alias("removed_runs")),
+        "chunk-removals",
     )
     keyed = docs.withColumn("row_key", _row_key())
-    joined = join_sized(keyed, removed, ["row_key"], "left", 64 + 4 * F.size("removed_places"))
+    row_bytes = 64 + 4 * F.size("removed_places") + 24 * F.size("removed_runs")
+    joined = join_sized(keyed, removed, ["row_key"], "left", row_bytes)
     gone = F.coalesce("removed_places", F.array().cast("array<int>"))
+    runs_found = F.coalesce("removed_runs", F.array().cast("array<struct<first:int,last:int,first_own:int,last_own:int>>"))
     parts = chunks(F.coalesce("text", F.lit("")))
 
     def rebuilt(all_parts: Column) -> Column:
-        left = F.filter(all_parts, lambda c: ~F.array_contains(gone, c["pos"]))
-        text = F.array_join(F.transform(left, lambda c: c["body"]), "\n")
-        return F.struct(F.size(all_parts).alias("total"), text.alias("text"))
+        cut_chunks = F.filter(all_parts, lambda c: F.array_contains(gone, c["pos"]))
+        return let(
+            F.struct(cut_chunks.alias("chunks"), _removed_runs(_lines(), runs_found, cut_chunks).alias("runs")),
+            lambda cuts: left_over(all_parts, cuts),
+        )
+
+    def left_over(all_parts: Column, cuts: Column) -> Column:
+        def lines_left(c: Column) -> Column:
+            lines = F.split(c["body"], "\n", -1)
+            in_run = lambda i: F.exists(cuts["runs"], lambda r: i.between(r["first"], r["last"]))
+            kept = F.filter(lines, lambda _, i: ~in_run(c["first"] + i))
+            return F.when(F.array_contains(gone, c["pos"]), F.slice(lines, 1, 0)).otherwise(kept)
+
+        return let(
+            F.transform(all_parts, lines_left),
+            lambda left: F.struct(
+                F.size(all_parts).alias("total"),
+                F.size(F.filter(left, lambda x: F.size(x) == 0)).alias("removed"),
+                (F.size(cuts["chunks"]) + F.size(cuts["runs"]) > 0).alias("changed"),
+                F.array_join(F.flatten(left), "\n").alias("text"),
+            ),
+        )
 
     done = joined.withColumn("rebuilt", let(parts, rebuilt))
-    changed = F.size(gone) > 0
+    changed = F.col("rebuilt.changed")
     before = F.octet_length("text")
     new_text = F.when(changed, F.col("rebuilt.text")).otherwise(F.col("text"))
     done = done.withColumns(
         {
             "chunks_total": F.col("rebuilt.total"),
-            "chunks_removed": F.size(gone),
+            "chunks_removed": F.col("rebuilt.removed"),
             "bytes_removed": F.when(changed, before - F.octet_length("rebuilt.text")).otherwise(F.lit(0)),
             "emptied": changed & (F.length("rebuilt.text") == 0),
         }

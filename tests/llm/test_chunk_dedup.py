@@ -61,3 +61,18 @@ def test_empty(empty):
 
 def test_no_python_in_plan(edges):
     assert "Python" not in line_dedup(edges)._jdf.queryExecution().toString()
+
+
+def test_repeated_short_passages_go_whole(spark):
+    """Passages of three lines of 25 words between unlike neighbours, and a copy of a text of short lines."""
+    draw = random.Random(8)
+    passages = ["\n".join(words(25, draw) for _ in range(3)) for _ in range(40)]
+    texts = [words(8, draw) + "\n" + p + "\n" + words(8, draw) for p in passages * 2]
+    copied = "\n".join(words(3, draw) for _ in range(9)) + "\n"
+    rows = [*enumerate(texts), (1000, copied), (1001, copied)]
+    got = {r["doc_id"]: r for r in line_dedup(frame(spark, rows)).collect()}
+    for i, text in enumerate(texts):
+        lines = text.split("\n")
+        assert got[i]["text"] == (text if i < 40 else f"{lines[0]}\n{lines[-1]}")
+        assert got[i]["n_chars"] == len(got[i]["text"])
+    assert got[1000]["text"] == copied and got[1001]["emptied"] and got[1001]["bytes_removed"] == len(copied)
