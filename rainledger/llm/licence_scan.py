@@ -49,29 +49,39 @@ KNOWN = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: For the SQL, which tells copyright lines by these alone.
 _COPYRIGHT_STARTS = ("copyright ", "c copyright ", "portions copyright ", "all rights reserved ")
 
 
+_SIGN = r"(?:\([cC]\)|©|&copy;)"
+_YEAR = r"(?:\d{4}|[\[<{(]\s*(?i:yyyy|year|name|copyright|owner|fullname))"
+#: Told on the raw line: word or sign, then a year or a name. Lines of a licence's body that begin with the word stay.
+COPYRIGHT_LINE = (
+    r"^[^\p{L}\p{N}©(&]*(?i:portions\s+)?(?:"
+    rf"{_SIGN}[\s,:-]*{_YEAR}|©\s*\p{{Lu}}"
+    rf"|(?:{_SIGN}\s*)?(?i:copyright)[\s,:-]*(?:{_SIGN}|{_YEAR}|(?i:by\s))"
+    rf"|(?:{_SIGN}\s*)?Copyright:?\s+(?!(?i:holder|owner|notice|law|licen[cs]e|act|statement|and|or|in)s?\b)\p{{Lu}}"
+    r"|(?i:all rights reserved)(?![\p{L}\p{N}]))"
+)
+
+
 def _canonical_line(line: Column) -> Column:
-    """Lower case, punctuation to one blank, equivalent spellings to one; a copyright line becomes empty."""
-    text = F.concat(F.lit(" "), F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    text = F.replace(text, F.lit("  "), F.lit(" "))
+    """Lower case, punctuation to one blank."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+
+
+def _one_spelling(text: Column) -> Column:
+    """Equivalent spellings of a canonical line, or of joined ones, to one."""
+    text = F.concat(F.lit(" "), text, F.lit(" "))
     for given, one in EQUIVALENT:
         text = F.replace(text, F.lit(f" {given} "), F.lit(f" {one} "))
     return F.trim(text)
 
 
 def canonical_lines(text: Column) -> Column:
-    lines = F.transform(F.split(text, "\n", -1), _canonical_line)
-
-    def counts(line: Column) -> Column:
-        padded = F.concat(line, F.lit(" "))
-        copyright_line = F.lit(False)
-        for start in _COPYRIGHT_STARTS:
-            copyright_line = copyright_line | F.startswith(padded, F.lit(start))
-        return (line != "") & ~copyright_line
-
-    return F.filter(lines, counts)
+    """The lines without copyright lines and empty ones; spellings are for _one_spelling, as they can cross line ends."""
+    lines = F.filter(F.split(text, "\n", -1), lambda line: ~F.rlike(line, F.lit(COPYRIGHT_LINE)))
+    return F.filter(F.transform(lines, _canonical_line), lambda line: line != "")
 
 
 def _digest(text: Column) -> Column:
@@ -81,7 +91,7 @@ def _digest(text: Column) -> Column:
 def known_digests(spark, known=KNOWN) -> DataFrame:
     """licence and digest of a parameter list of licence texts; the first licence wins a shared digest."""
     table = spark.createDataFrame([(i, *pair) for i, pair in enumerate(known)], "place int, licence string, known_text string")
-    canonical = F.array_join(canonical_lines(F.col("known_text")), " ")
+    canonical = _one_spelling(F.array_join(canonical_lines(F.col("known_text")), " "))
     return table.groupBy(_digest(canonical).alias("digest")).agg(F.min_by("licence", "place").alias("licence"))
 
 
@@ -97,7 +107,9 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", lines.alias("lines")).select(
         "doc_id",
         F.array_insert(
-            F.transform(F.array_distinct("lines"), _digest), 1, _digest(F.array_join("lines", " "))
+            F.transform(F.array_distinct(F.transform("lines", _one_spelling)), _digest),
+            1,
+            _digest(_one_spelling(F.array_join("lines", " "))),
         ).alias("digests"),
     )
     units = rows.select(

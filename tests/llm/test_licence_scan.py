@@ -27,3 +27,15 @@ def test_empty(spark, empty):
 def test_no_python_in_plan(spark, edges):
     plan = scan(edges, known_digests(spark))._jdf.queryExecution().toString()
     assert "PythonUDF" not in plan and "ArrowEval" not in plan
+
+
+def test_copyright_lines_and_spellings_across_line_ends(spark):
+    body = "You may sub-license it. The copyright holder grants this.\nIN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE."
+    wrapped = "You may sub\nlicense it. The copyright\nholder grants this. In no event shall the authors or\nCOPYRIGHT HOLDERS BE LIABLE."
+    heads = ["", "(c) 2021 X\n", "© 2021 X\n", "© Example\n", "# Copyright: Example Ltd\n", "Copyright (c) <year> <owner>. All rights reserved.\n"]
+    texts = [head + text for head in heads for text in (body, wrapped)]
+    got = scan(frame(spark, list(enumerate(texts))), known_digests(spark, [("Own", body)])).collect()
+    assert [r["licence"] for r in got] == ["Own"] * len(texts)
+    kept = ["(c) You must retain all notices", "copyright notice, this list", "copyright license to reproduce", "Copyright Notice"]
+    got = scan(frame(spark, list(enumerate(kept))), known_digests(spark, [("Empty", "")])).collect()
+    assert [r["licence"] for r in got] == [None] * len(kept)
