@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ EQUIVALENT = (
     ("wilful", "willful"),
 )
 
-# Known licences, each with a text that stands for it.
+# Notices of known licences; the SQL holds these alone.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\")."),
@@ -88,8 +90,31 @@ def _digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def known_digests(spark, known=KNOWN) -> DataFrame:
-    """licence and digest of a parameter list of licence texts; the first licence wins a shared digest."""
+#: Title lines that whole licence files begin with; texts of other licences hold their own.
+_TITLES = {
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Licence and text of the files beside this one, with each of its titles; variants are named after a plus sign."""
+    found = []
+    for file in sorted((Path(__file__).parent / "licences").glob("*.txt")):
+        licence, text = file.stem.split("+")[0], file.read_text(encoding="utf-8")
+        found += [(licence, head + text) for head in ("", *(f"{title}\n\n" for title in _TITLES.get(licence, ())))]
+    return found
+
+
+def known_digests(spark, known=None) -> DataFrame:
+    """licence and digest of a parameter list of licence texts; the first licence wins a shared digest.
+
+    Without a list: the notices of KNOWN and the whole texts and header blocks of ``full_texts``.
+    """
+    known = (*KNOWN, *full_texts()) if known is None else known
     table = spark.createDataFrame([(i, *pair) for i, pair in enumerate(known)], "place int, licence string, known_text string")
     canonical = _one_spelling(F.array_join(canonical_lines(F.col("known_text")), " "))
     return table.groupBy(_digest(canonical).alias("digest")).agg(F.min_by("licence", "place").alias("licence"))

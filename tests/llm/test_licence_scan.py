@@ -1,4 +1,7 @@
+from pathlib import Path
+
 from edge_rows import EDGES
+from rainledger.llm import licence_scan
 from rainledger.llm.licence_scan import known_digests, scan
 from edge_rows import frame
 
@@ -39,3 +42,22 @@ def test_copyright_lines_and_spellings_across_line_ends(spark):
     kept = ["(c) You must retain all notices", "copyright notice, this list", "copyright license to reproduce", "Copyright Notice"]
     got = scan(frame(spark, list(enumerate(kept))), known_digests(spark, [("Empty", "")])).collect()
     assert [r["licence"] for r in got] == [None] * len(kept)
+
+
+def test_whole_licence_files(spark):
+    """Files as repositories hold them: with a title, a copyright line, other line ends, and upper-case parts lowered."""
+    folder = Path(licence_scan.__file__).parent / "licences"
+    rows, want = [], {}
+    for file in sorted(folder.glob("*.txt")):
+        name, text = file.stem.split("+")[0], file.read_text()
+        head = "The MIT License (MIT)\n\n" if name == "MIT" else "BSD 3-Clause License\n" if name == "BSD-3-Clause" else ""
+        for copy in (text, text.lower() if "(c)" not in text.lower() else text, f"{head}(c) 2021 Example\n\n{text}"):
+            want[len(rows)] = name
+            rows.append((len(rows), copy))
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC"):
+        words = (folder / f"{name}.txt").read_text().split()
+        for width in (5, 9, 14):
+            want[len(rows)] = name
+            rows.append((len(rows), "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))))
+    got = {r["doc_id"]: r["licence"] for r in scan(frame(spark, rows), known_digests(spark)).collect()}
+    assert got == want and {"Apache-2.0", "GPL-2.0", "GPL-3.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"} <= set(want.values())
