@@ -23,6 +23,9 @@ QUERY_BLOCK = 256
 _BUILD_BLOCK = 512
 #: Distances that one pruning step holds at a time.
 _PRUNE_CELLS = 8_000_000
+#: Directions that agree on a grid of this width are one node; squared distances below the second are rounding.
+_SAME_DIRECTION = 2.0**-18
+_ROUNDING = 1e-6
 
 
 def _beam_search(
@@ -77,6 +80,7 @@ def _prune(vectors: np.ndarray, points: np.ndarray, candidates: np.ndarray, degr
     to_point = np.einsum("pcd,pcd->pc", gap, gap)
     squares = np.einsum("pcd,pcd->pc", there, there)
     between = squares[:, :, None] + squares[:, None, :] - 2 * (there @ there.transpose(0, 2, 1))
+    between[between < _ROUNDING] = 0
     alive = candidates != none
     rows = np.arange(len(points))
     out = np.full((len(points), degree), none)
@@ -154,8 +158,25 @@ def vector_classes(vectors: DataFrame, keep_ids: int) -> DataFrame:
     return few.groupBy("embedding").agg(ids.alias("ids"))
 
 
+def _units(exact: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; scaling by the largest component keeps squares in range."""
+    scaled = exact / np.abs(exact).max(axis=1)[:, None]
+    return (scaled / np.linalg.norm(scaled, axis=1)[:, None]).astype(np.float32)
+
+
+def direction_nodes(unit: np.ndarray) -> np.ndarray:
+    """For each unit vector the number of its direction, in order of first appearance."""
+    grid = np.ascontiguousarray(np.round(unit / _SAME_DIRECTION).astype(np.int32))
+    numbers: dict[bytes, int] = {}
+    return np.array([numbers.setdefault(row.tobytes(), len(numbers)) for row in grid])
+
+
 def graph_rows(classes: DataFrame, shards: int) -> DataFrame:
-    """One row per dimension and shard: ids of the classes, unit vectors, edges and start node, all as bytes."""
+    """One row per dimension and shard: ids of the classes, their vectors, edges and start node, all as bytes.
+
+    A node is a direction: vectors that differ in length alone share it, as copies at distance 0 would fill each
+    other's edges. ``members`` counts the classes of each node; classes are sorted by node.
+    """
     sharded = classes.withColumns(
         {"dims": F.size("embedding"), "shard": F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")}
     )
@@ -163,16 +184,19 @@ def graph_rows(classes: DataFrame, shards: int) -> DataFrame:
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(least=[int(x[0]) for x in rows["ids"]]).sort_values("least")
         exact = np.array(rows["embedding"].tolist(), np.float64)
-        unit = (exact / np.linalg.norm(exact / np.abs(exact).max(axis=1)[:, None], axis=1)[:, None] / np.abs(exact).max(axis=1)[:, None]).astype(np.float32)
-        edges, start = build_graph(unit)
-        counts = rows["ids"].map(len).to_numpy(np.int32)
-        flat = np.concatenate([np.asarray(x, np.int64) for x in rows["ids"]])
+        nodes = direction_nodes(_units(exact))
+        by_node = np.argsort(nodes, kind="stable")
+        exact, members = exact[by_node], np.bincount(nodes).astype(np.int32)
+        edges, start = build_graph(_units(exact[np.cumsum(members) - members]))
+        ids = [np.asarray(rows["ids"].iloc[i], np.int64) for i in by_node]
+        counts = np.array([len(x) for x in ids], np.int32)
+        flat = np.concatenate(ids)
         return pd.DataFrame(
-            [(int(key[0]), int(key[1]), flat.tobytes(), counts.tobytes(), exact.tobytes(), edges.astype(np.int32).tobytes(), start)],
-            columns=["dims", "shard", "ids", "counts", "vectors", "edges", "start"],
+            [(int(key[0]), int(key[1]), flat.tobytes(), counts.tobytes(), members.tobytes(), exact.tobytes(), edges.astype(np.int32).tobytes(), start)],
+            columns=["dims", "shard", "ids", "counts", "members", "vectors", "edges", "start"],
         )
 
-    schema = "dims int, shard int, ids binary, counts binary, vectors binary, edges binary, start int"
+    schema = "dims int, shard int, ids binary, counts binary, members binary, vectors binary, edges binary, start int"
     return sharded.groupBy("dims", "shard").applyInPandas(build, schema)
 
 
@@ -201,23 +225,27 @@ def search(graphs: DataFrame, queries: DataFrame, shards: int, k: int, beam: int
         for batch in batches:
             for row in batch.to_pylist():
                 exact = np.frombuffer(row["vectors"]).reshape(-1, row["dims"])
-                largest = np.abs(exact).max(axis=1)[:, None]
-                unit = (exact / largest / np.linalg.norm(exact / largest, axis=1)[:, None]).astype(np.float32)
-                edges = np.frombuffer(row["edges"], np.int32).reshape(len(exact), -1)
+                members = np.frombuffer(row["members"], np.int32)
+                first_class = np.cumsum(members) - members
+                unit = _units(exact[first_class])
+                edges = np.frombuffer(row["edges"], np.int32).reshape(len(unit), -1)
                 counts, flat = np.frombuffer(row["counts"], np.int32), np.frombuffer(row["ids"], np.int64)
                 first = np.cumsum(counts) - counts
                 asked = np.array([q["embedding"] for q in row["queries"]], np.float64)
-                largest = np.abs(asked).max(axis=1)[:, None]
-                units = (asked / largest / np.linalg.norm(asked / largest, axis=1)[:, None]).astype(np.float32)
+                units = _units(asked)
                 found, _ = _beam_search(unit, edges, row["start"], units, beam)
                 out = []
                 for query, vector, nodes in zip(row["queries"], asked, found, strict=True):
                     nodes = nodes[nodes >= 0]
-                    scores = _cosines(vector, exact[nodes])
+                    of_nodes = np.concatenate([np.arange(first_class[n], first_class[n] + members[n]) for n in nodes])
+                    scores = _cosines(vector, exact[of_nodes])
+                    if len(scores) > k + 1:  # one of the best k + 1 can be the query itself; equal scores stay
+                        near = scores >= np.partition(scores, -k - 1)[-k - 1]
+                        of_nodes, scores = of_nodes[near], scores[near]
                     hits = [
                         (-score, int(v))
-                        for node, score in zip(nodes, scores, strict=True)
-                        for v in flat[first[node] : first[node] + counts[node]]
+                        for c, score in zip(of_nodes, scores, strict=True)
+                        for v in flat[first[c] : first[c] + counts[c]]
                         if v != query["query_id"]
                     ]
                     out += [(query["query_id"], v, -score) for score, v in sorted(hits)[:k]]

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from rainledger.llm.graph_ann import build_graph, nearest
+from rainledger.llm.graph_ann import _units, build_graph, direction_nodes, nearest
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, score string, rank string, shard string"
 
@@ -73,3 +73,30 @@ def test_graph_edges_are_diverse_and_bounded():
     edges, start = build_graph(vectors, degree=10)
     assert edges.shape == (300, 10) and 0 <= start < 300
     assert all(len(set(row[row < 300])) == (row < 300).sum() and i not in row for i, row in enumerate(edges))
+
+
+def test_a_third_of_all_rows_are_scaled_copies(spark):
+    draw = np.random.RandomState(4)
+    base = draw.normal(size=8)
+    vectors = [(i, ((0.5 + draw.rand()) * base if i % 3 == 0 else draw.normal(size=8) + base / 2).tolist()) for i in range(1500)]
+    got = nearest(table(spark, vectors), F.col("vec_id") % 25 == 1).collect()
+    want = brute(vectors, lambda i: i % 25 == 1)
+    scores = {}
+    for r in got:
+        scores.setdefault(r["query_id"], []).append(-r["score"])
+    near = [abs(a - b) < 1e-6 for q in want for a, (b, _) in zip(sorted(scores[q]), want[q], strict=True)]
+    assert sum(near) >= 0.95 * len(near)
+
+
+def test_copies_do_not_fill_each_others_edges():
+    draw = np.random.RandomState(6)
+    base = draw.normal(size=8)
+    exact = np.vstack([[(0.5 + draw.rand()) * base for _ in range(60)], draw.normal(size=(300, 8))]).astype(np.float32).astype(float)
+    assert len(set(direction_nodes(_units(exact))[:60])) <= 4
+    edges, start = build_graph(_units(exact))
+    reached, todo = {start}, [start]
+    while todo:
+        fresh = {int(x) for x in edges[todo.pop()] if x < len(exact)} - reached
+        reached |= fresh
+        todo += fresh
+    assert len(reached & set(range(60, 360))) >= 285
