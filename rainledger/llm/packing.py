@@ -3,84 +3,162 @@
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainledger.llm.tables import documents, keep
-from rainledger.llm.words import utf8_rows
 
 LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 500_000
+#: Parts of words, and ids of them, that a Python worker remembers after a slice; beyond that it starts anew.
+CACHE_WORDS = 800_000
+CACHE_IDS = 4_000_000
+#: Longer parts are forgotten after their slice.
+KNOWN_BYTES = 64
+#: Bytes of text that are split into words at once.
+SLICE_BYTES = 16 * 1024 * 1024
 
 _ENCODERS: dict = {}
-_LETTERS_THEN_MARKS = re.compile(rb"([a-z]+)[!-&(-/:-@[-`{-~]+")
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: ASCII marks but the apostrophe, which the tokenizer can join to letters.
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
 
 
 class WordIds:
     """Ids of texts, word by word.
 
     The tokenizer drops white space and splits at it before any merge, and lower-cases A to Z itself. So a text's
-    ids are those of its words, in turn, and each different word needs to be encoded once.
+    ids are those of its words, in turn, and each different word needs to be encoded once. Letters and the marks
+    after them never share a token either: a word is one part or two, and the parts are what is remembered.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        # For words of a to z alone every step before the merges changes nothing but the white space.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.last_of_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         suffix = self.tokenizer.model.end_of_word_suffix
         if suffix:
             self.last_of_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        self._forget()
 
-    def _learn(self, words: Iterable[bytes]) -> None:
+    def _forget(self) -> None:
+        """Part number 0 is the empty one."""
+        self.long: list[bytes] = []
+        self.known: dict[bytes, int] = {b"": 0}
+        self.ids, self.starts, self.counts = np.empty(0, "<u4"), np.zeros(1, np.int32), np.zeros(1, np.int32)
+
+    def _encoded(self, parts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
         """Words of letters alone are one run for the tokenizer, whose last token is marked: many go in one call."""
-        together: list[bytes] = []
+        plain: list[bytes] = []
+        letters: list[bytes] = []
         apart: list[bytes] = []
-        for word in words:
-            text = word.decode()
-            (together if text.isalpha() and text.lower().isalpha() else apart).append(word)
-        lines = [together[i : i + 512] for i in range(0, len(together), 512)]
-        for part, found in zip(lines, self._encoded([b" ".join(line) for line in lines]), strict=True):
-            ends = np.flatnonzero(self.last_of_word[found]) + 1
-            if len(ends) != len(part):
-                apart += part
-                continue
-            raw, starts = found.tobytes(), np.r_[0, ends[:-1]]
-            self.known.update(zip(part, (raw[4 * x : 4 * y] for x, y in zip(starts, ends, strict=True)), strict=True))
-        self.known.update(zip(apart, (ids.tobytes() for ids in self._encoded(apart)), strict=True))
-
-    def _encoded(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        for part in parts:
+            if part.isalpha():
+                plain.append(part)
+            else:
+                text = part.decode()
+                (letters if text.isalpha() and text.lower().isalpha() else apart).append(part)
+        for tokenizer, words in ((self.plain, plain), (self.tokenizer, letters)):
+            lines = [words[i : i + 512] for i in range(0, len(words), 512)]
+            for line, found in zip(lines, self._batches(tokenizer, [b" ".join(x) for x in lines]), strict=True):
+                ends = np.flatnonzero(self.last_of_word[found]) + 1
+                if len(ends) == len(line):
+                    yield from zip(line, np.split(found, ends[:-1]), strict=True)
+                else:
+                    apart += line
+        yield from zip(apart, self._batches(self.tokenizer, apart), strict=True)
+
+    @staticmethod
+    def _batches(tokenizer, texts: list[bytes]) -> Iterator[np.ndarray]:
         for i in range(0, len(texts), 4096):
-            for found in self.tokenizer.encode_batch_fast([t.decode() for t in texts[i : i + 4096]], add_special_tokens=False):
+            for found in tokenizer.encode_batch_fast([t.decode() for t in texts[i : i + 4096]], add_special_tokens=False):
                 yield np.array(found.ids, "<u4")
 
+    def _numbers(self, parts: list[bytes]) -> np.ndarray:
+        """The number of each part; new ones are encoded and join the end of the tables."""
+        numbers = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int32, len(parts))
+        missing = np.flatnonzero(numbers < 0).tolist()
+        if missing:
+            found = list(self._encoded(list({parts[i] for i in missing})))
+            counts = np.array([len(ids) for _, ids in found], np.int32)
+            first = len(self.counts)
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts, dtype=np.int32) - counts])
+            self.counts = np.concatenate([self.counts, counts])
+            self.ids = np.concatenate([self.ids, *[ids for _, ids in found]])
+            self.known.update((part, first + i) for i, (part, _) in enumerate(found))
+            self.long += [part for part, _ in found if len(part) > KNOWN_BYTES]
+            numbers[missing] = [self.known[parts[i]] for i in missing]
+        return numbers
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and their number per text; a NULL text has none."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words = lists.flatten().dictionary_encode()
+        heads = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        tails, tailed = [], []
+        for i, word in enumerate(heads):
+            if not word.isalpha():
+                letters = word.rstrip(_MARKS)
+                if letters != word and letters.isalpha():
+                    heads[i] = letters
+                    tails.append(word[len(letters) :])
+                    tailed.append(i)
+        parts = np.zeros((len(heads), 2), np.int32)
+        numbers = self._numbers(heads + tails)
+        parts[:, 0], parts[tailed, 1] = numbers[: len(heads)], numbers[len(heads) :]
+        own, _, counts = _gathered(self.ids, self.starts, self.counts, parts.ravel())
+        counts = counts.reshape(-1, 2).sum(axis=1, dtype=np.int32)
+        ids, _, counts = _gathered(own, np.cumsum(counts, dtype=np.int32) - counts, counts, words.indices.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        per_text = np.diff(ends[lists.offsets.to_numpy()])
+        for part in self.long:
+            del self.known[part]
+        self.long = []
+        if len(self.known) > CACHE_WORDS or len(self.ids) > CACHE_IDS:
+            self._forget()
+        return ids, per_text
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [text.translate(_LOWER).split() for text in texts]
-        known = self.known
-        new = set(filterfalse(known.__contains__, chain.from_iterable(split)))
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = set(chain.from_iterable(split))
-        # Letters and the marks after them never share a token: they are encoded apart, each once.
-        ends = {w: m.span(1)[1] for w in new if (m := _LETTERS_THEN_MARKS.fullmatch(w))}
-        parts = {p for w, end in ends.items() for p in (w[:end], w[end:])}
-        self._learn(filterfalse(known.__contains__, parts.union(new.difference(ends))))
-        known.update((w, known[w[:end]] + known[w[end:]]) for w, end in ends.items())
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        ids, counts = self.encode_column(pa.array(texts, pa.binary()).cast(pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
+
+
+def slices(texts: pa.Array, limit: int | None = None) -> Iterator[pa.Array]:
+    """The texts in turn, in slices that end with the text that reaches ``limit`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    slice_of = (np.cumsum(sizes) - sizes) // (limit or SLICE_BYTES)
+    edges = np.flatnonzero(np.diff(slice_of)) + 1
+    for start, end in zip([0, *edges], [*edges, len(texts)], strict=True):
+        yield texts.slice(start, end - start)
+
+
+def binary_rows(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """One binary value per text from the ids of all texts in turn."""
+    offsets = np.concatenate([[0], np.cumsum(4 * counts)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The values of the given rows in turn, and their starts and counts; a slice's values have 32-bit places."""
+    starts, counts = starts[rows], counts[rows]
+    before = np.cumsum(counts, dtype=np.int32) - counts
+    places = np.repeat(starts - before, counts)
+    places += np.arange(len(places), dtype=np.int32)
+    return values[places], starts, counts
 
 
 def _path(tokenizer: str) -> str:
@@ -98,24 +176,24 @@ def token_rows(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = WordIds(_path(tokenizer))
         words, run, before = _ENCODERS[tokenizer], TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                ids = [x + end for x in words.encode(utf8_rows(part.column("text")))]
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
+            at = 0
+            for texts in slices(batch.column("text")):
+                ids, counts = words.encode_column(texts)
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                counts = counts + 1
                 ends = before + np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"),
-                        pa.array(ids, pa.binary()),
+                        batch.column("doc_id").slice(at, len(texts)),
+                        binary_rows(ids, counts),
                         pa.array(counts),
-                        pa.array(np.full(len(ids), run, np.int32)),
+                        pa.array(np.full(len(texts), run, np.int32)),
                         pa.array(ends - counts),
                     ],
                     names=["doc_id", "ids", "doc_tokens", "run", "before"],
                 )
-                before = int(ends[-1])
+                before, at = int(ends[-1]), at + len(texts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, ids binary, doc_tokens bigint, run int, before bigint"

@@ -72,3 +72,25 @@ def test_cache_bound(spark, monkeypatch, tokenizer):
     words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
     for text in ("a b c d e", "e f g", "It's 12 o'clock"):
         assert words.encode([text.encode()])[0] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_text_without_blanks(tokenizer):
+    from rainledger.llm import packing
+
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["ab1" * 1_700_000, "中文" * 300_000, "plain words", "x" * 200]
+    for text, ids in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
+        assert ids == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert max(map(len, words.known)) <= packing.KNOWN_BYTES
+
+
+def test_slices_and_null(tokenizer):
+    import pyarrow as pa
+
+    from rainledger.llm import packing
+
+    texts = pa.array(["one two", None, "", "three " * 9, "four", None])
+    parts = list(packing.slices(texts, 10))
+    assert len(parts) > 1 and [t for p in parts for t in p.to_pylist()] == texts.to_pylist()
+    assert packing.WordIds(public_tokenizers.path("word_bpe_49k.json")).encode_column(texts)[1].tolist()[1:3] == [0, 0]
+    assert [p.to_pylist() for p in packing.slices(texts.slice(0, 0))] == [[]]
