@@ -169,13 +169,18 @@ def _path(tokenizer: str) -> str:
     return public_tokenizers.path(tokenizer)
 
 
+def encoder(tokenizer: str) -> WordIds:
+    """The worker's one encoder of a tokenizer, with the parts it remembers."""
+    if tokenizer not in _ENCODERS:
+        _ENCODERS[tokenizer] = WordIds(_path(tokenizer))
+    return _ENCODERS[tokenizer]
+
+
 def token_rows(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """First pass, stored: ids of each document, its partition, and the ids before it in that partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = WordIds(_path(tokenizer))
-        words, run, before = _ENCODERS[tokenizer], TaskContext.get().partitionId(), 0
+        words, run, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             at = 0
             for texts in slices(batch.column("text")):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rainledger.llm import (
+    best_fit,
     chunk_dedup,
     exact_dedup,
     graph_ann,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_insult_svm": insult_svm.op8_insult_svm,
     "op9_line_dedup": chunk_dedup.op9_line_dedup,
     "op10_poisson_mix": poisson_mix.op10_poisson_mix,
+    "op12_best_fit": best_fit.op12_best_fit,
 }
 
 #: Tokens, learned scores, graph searches and CRC-32 have no SQL; those queries are tested in tests/llm.

@@ -78,7 +78,7 @@ def test_text_without_blanks(tokenizer):
     from rainledger.llm import packing
 
     words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["ab1" * 1_700_000, "中文" * 300_000, "plain words", "x" * 200]
+    texts = ["ab1" * 100_000, "中文" * 50_000, "plain words", "x" * 200]
     for text, ids in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
         assert ids == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert max(map(len, words.known)) <= packing.KNOWN_BYTES
