@@ -5,6 +5,7 @@ from __future__ import annotations
 from rainledger.llm import (
     best_fit,
     chunk_dedup,
+    cover_codes,
     exact_dedup,
     graph_ann,
     hilbert_shards,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_line_dedup": chunk_dedup.op9_line_dedup,
     "op10_poisson_mix": poisson_mix.op10_poisson_mix,
     "op12_best_fit": best_fit.op12_best_fit,
+    "op13_cover_codes": cover_codes.op13_cover_codes,
 }
 
 #: Tokens, learned scores, graph searches and CRC-32 have no SQL; those queries are tested in tests/llm.
@@ -37,4 +39,5 @@ ORACLE_SQL = {
     "op7_hyperminhash": hyperminhash.ORACLE,
     "op9_line_dedup": chunk_dedup.ORACLE,
     "op10_poisson_mix": poisson_mix.ORACLE,
+    "op13_cover_codes": cover_codes.ORACLE,
 }
