@@ -12,6 +12,7 @@ from rainledger.llm import (
     hyperminhash,
     insult_svm,
     licence_scan,
+    merkle_manifest,
     packing,
     poisson_mix,
     quality_mil,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_insult_svm": insult_svm.op8_insult_svm,
     "op9_line_dedup": chunk_dedup.op9_line_dedup,
     "op10_poisson_mix": poisson_mix.op10_poisson_mix,
+    "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
     "op12_best_fit": best_fit.op12_best_fit,
     "op13_cover_codes": cover_codes.op13_cover_codes,
 }
@@ -39,5 +41,6 @@ ORACLE_SQL = {
     "op7_hyperminhash": hyperminhash.ORACLE,
     "op9_line_dedup": chunk_dedup.ORACLE,
     "op10_poisson_mix": poisson_mix.ORACLE,
+    "op11_merkle_manifest": merkle_manifest.ORACLE,
     "op13_cover_codes": cover_codes.ORACLE,
 }
