@@ -1,4 +1,4 @@
-"""Repeated runs of lines, found as content-defined chunks and pairs of lines and removed after byte comparison."""
+"""Repeated runs of lines, found by rolled hashes of neighbouring lines and removed after byte comparison."""
 
 from __future__ import annotations
 
@@ -9,48 +9,33 @@ from rainledger.llm.tables import documents, join_groups, join_sized, keep, let
 
 #: A boundary follows a pair of lines whose rolled hash starts with one of so many of the 16 hex digits.
 BOUNDARY_DIGITS = 8
-#: A line of so many words is a chunk of its own, wherever it stands.
+#: A line of so many words is a chunk of its own, wherever it stands; a run of so many words goes whatever its chunks.
 LONG_LINE_WORDS = 50
-#: A heavy chunk's text is broadcast only up to this length, so that all of them together have a bound.
-HEAVY_TEXT_BYTES = 32 * 1024
+#: Bodies up to this length are compared as they are, longer ones by SHA-256, so that rows carrying them have a bound.
+BODY_BYTES = 32 * 1024
 #: A short line at the edge of a run is a common one if it stands more than so many times as often as the pair it is in.
 COMMON_TIMES = 2
+_BLANKS = r"[\x09-\x0D\x20]+"
+_STEPS = ("chunks_total", "chunks_removed", "bytes_removed", "emptied", "row_key", "cuts", "rebuilt")
+
+
+def _words(line: Column) -> Column:
+    return F.size(F.filter(F.split(line, _BLANKS), lambda x: x != ""))
 
 
 def _is_long(line: Column, words: int) -> Column:
-    """At least ``words`` - 1 blanks; short lines are told by their length alone."""
-    blanks = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    return (F.length(line) >= words - 1) & (blanks >= words - 1)
+    """At least ``words`` words; most lines are told to be short by their length alone."""
+    return (F.length(line) >= 2 * words - 1) & (_words(line) >= words)
 
 
-def chunks(text: Column, digits: int = BOUNDARY_DIGITS, long_words: int = LONG_LINE_WORDS) -> Column:
-    """Array of (pos, first, lines, long, body): the text cut at line ends that depend only on the lines around them.
+def _parsed(text: Column, digits: int, long_words: int, body) -> Column:
+    """``body(t)`` where t has the arrays lines, longs and ends: whether a chunk ends after each line.
 
-    A chunk ends after line i if the hash rolled over the hashes of lines i - 1 and i says so, before and after
-    a long line, and at the end. Joined by line feeds the bodies give the text again.
+    It does if the hash rolled over the hashes of the line and the one before says so, before and after a long
+    line, and at the end of the text: this depends on the lines around alone, wherever they stand.
     """
     edge = F.lit(f"{digits - 1:x}")
 
-    def ends(t: Column) -> Column:
-        def ends_at(i: Column) -> Column:
-            rolled = F.md5(F.concat(F.element_at(t["hashes"], i - 1), F.element_at(t["hashes"], i)))
-            cut = F.when(i > 1, F.substring(rolled, 1, 1) <= edge).otherwise(F.lit(False))
-            beside = F.element_at(t["longs"], i) | F.try_element_at(t["longs"], i + 1)
-            return F.when(i == F.size(t["lines"]), True).otherwise(beside | cut)
-
-        return F.filter(F.sequence(F.lit(1), F.size(t["lines"])), ends_at)
-
-    def cut(t: Column) -> Column:
-        def chunk(k: Column) -> Column:
-            after = F.when(k > 1, F.element_at(t["ends"], k - 1)).otherwise(F.lit(0))
-            count = F.element_at(t["ends"], k) - after
-            body = F.array_join(F.slice(t["lines"], after + 1, count), "\n")
-            return F.struct(
-                k.alias("pos"), (after + 1).alias("first"), count.alias("lines"), F.element_at(t["longs"], after + 1).alias("long"), body.alias("body")
-            )
-
-        return F.transform(F.sequence(F.lit(1), F.size(t["ends"])), chunk)
-
     def hashed(lines: Column) -> Column:
         return F.struct(
             lines.alias("lines"),
@@ -59,249 +44,331 @@ def chunks(text: Column, digits: int = BOUNDARY_DIGITS, long_words: int = LONG_L
         )
 
     def with_ends(t: Column) -> Column:
-        return F.struct(t["lines"].alias("lines"), t["longs"].alias("longs"), ends(t).alias("ends"))
+        def ends(_: Column, i: Column) -> Column:
+            rolled = F.md5(F.concat(F.get(t["hashes"], i - 1), F.get(t["hashes"], i)))
+            beside = F.get(t["longs"], i) | F.coalesce(F.get(t["longs"], i + 1), F.lit(True))
+            return beside | F.coalesce(F.substring(rolled, 1, 1) <= edge, F.lit(False))
+
+        return F.struct(t["lines"].alias("lines"), t["longs"].alias("longs"), F.transform(t["lines"], ends).alias("ends"))
+
+    return let(F.split(text, "\n", -1), lambda lines: let(hashed(lines), lambda t: let(with_ends(t), body)))
 
-    return let(F.split(text, "\n", -1), lambda lines: let(hashed(lines), lambda t: let(with_ends(t), cut)))
+
+def chunks(text: Column, digits: int = BOUNDARY_DIGITS, long_words: int = LONG_LINE_WORDS) -> Column:
+    """Array of (pos, first, lines, body): the text cut where chunks end. Joined by line feeds the bodies give it again."""
+
+    def cut(t: Column) -> Column:
+        def last_lines(ends: Column) -> Column:
+            numbers = F.transform(ends, lambda end, i: F.when(end, i + 1))
+            return F.filter(numbers, lambda x: x.isNotNull())
+
+        def chunk(last: Column, k: Column, lasts: Column) -> Column:
+            before = F.coalesce(F.get(lasts, k - 1), F.lit(0))
+            body = F.array_join(F.slice(t["lines"], before + 1, last - before), "\n")
+            return F.struct((k + 1).alias("pos"), (before + 1).alias("first"), (last - before).alias("lines"), body.alias("body"))
+
+        return let(last_lines(t["ends"]), lambda lasts: F.transform(lasts, lambda last, k: chunk(last, k, lasts)))
+
+    return _parsed(text, digits, long_words, cut)
 
 
 def _row_key() -> Column:
     return F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
 
 
-def _lines() -> Column:
-    return F.split(F.coalesce("text", F.lit("")), "\n", -1)
+def _text() -> Column:
+    return F.coalesce("text", F.lit(""))
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """One row per chunk of several lines or one long line, and one per pair of lines that follow each other."""
+def _body(lines: Column, longs: Column, i: Column) -> Column:
+    """A long line by itself; a short one with the short one after it; NULL if there is none."""
+    line, after = F.get(lines, i), F.get(lines, i + 1)
+    pair = F.when(~F.get(longs, i + 1), F.concat(line, F.lit("\n"), after))
+    return F.when(F.get(longs, i), line).otherwise(pair)
 
-    def unit(pair: bool, pos: Column, chunk_hash: Column, body: Column) -> Column:
-        return F.struct(F.lit(pair).alias("pair"), pos.cast("int").alias("pos"), chunk_hash.alias("hash"), body.alias("body"))
 
-    def pairs(lines: Column) -> Column:
-        def pair(line: Column, i: Column) -> Column:
-            after = F.get(lines, i + 1)
-            return unit(True, i + 1, F.xxhash64(line, after), F.concat(line, F.lit("\n"), after))
+def _hashes(docs: DataFrame) -> DataFrame:
+    """Hash and length of every long line and every pair of short lines."""
 
-        return F.transform(F.slice(lines, 1, F.size(lines) - 1), pair)
+    def bodies(t: Column) -> Column:
+        return F.transform(t["lines"], lambda _, i: _body(t["lines"], t["longs"], i))
 
-    several = F.filter(chunks(F.coalesce("text", F.lit(""))), lambda c: (c["lines"] > 1) | c["long"])
-    units = F.concat(
-        F.transform(several, lambda c: unit(False, c["pos"], F.xxhash64(c["body"]), c["body"])), let(_lines(), pairs)
-    )
-    found = docs.select(_row_key().alias("row_key"), F.explode(units).alias("unit"))
-    return found.select(
-        F.col("unit.hash").alias("chunk_hash"),
-        F.octet_length("unit.body").alias("octets"),
-        F.struct("row_key", "unit.pair", "unit.pos").alias("place"),
-        F.col("unit.body").alias("body"),
-    )
+    def marked(lines: Column) -> Column:
+        longs = F.transform(lines, lambda x: _is_long(x, LONG_LINE_WORDS))
+        return let(F.struct(lines.alias("lines"), longs.alias("longs")), bodies)
+
+    found = docs.select(F.explode(let(F.split(_text(), "\n", -1), marked)).alias("body")).where("body IS NOT NULL")
+    return found.select(F.xxhash64("body").alias("chunk_hash"), F.octet_length("body").alias("octets"))
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """One row per long line and pair of short lines, with its place and how the chunks lie around it."""
+
+    def units(t: Column) -> Column:
+        def unit(_: Column, i: Column) -> Column:
+            return F.struct(
+                (i + 1).alias("pos"),
+                F.get(t["longs"], i).alias("long"),
+                _body(t["lines"], t["longs"], i).alias("body"),
+                F.coalesce(F.get(t["ends"], i - 1), F.lit(True)).alias("starts"),
+                (~F.get(t["ends"], i)).alias("inner"),
+                F.coalesce(F.get(t["ends"], i + 1), F.lit(True)).alias("stops"),
+                F.size(t["lines"]).alias("n_lines"),
+            )
+
+        return F.transform(t["lines"], unit)
+
+    parsed = _parsed(_text(), BOUNDARY_DIGITS, LONG_LINE_WORDS, units)
+    # The key is made before the lines are: else each of them would hash its text again.
+    keyed = docs.select(_row_key().alias("row_key"), "text")
+    found = keyed.select("row_key", F.inline(parsed)).where("body IS NOT NULL")
+    return found.withColumns({"chunk_hash": F.xxhash64("body"), "octets": F.octet_length("body")})
 
 
 def repeated_places(docs: DataFrame) -> DataFrame:
-    """row_key, pair, pos, body and number of places of every chunk and pair whose bytes stand at an earlier place too.
+    """Every long line and pair of short lines that stands at several places, with its first place (src, src_pos).
 
-    Places go by doc_id, then position: the number of the chunk, or of the first line of the pair.
+    Places go by doc_id, then position. ``members`` is the number of places.
     """
-    hashed = _occurrences(docs).select("chunk_hash", "octets")
-    repeated = keep(
-        hashed.groupBy("chunk_hash", "octets").agg(F.count("*").alias("members")).where("members > 1"), "chunk-hashes"
-    )
     key = ["chunk_hash", "octets"]
-    all_places = keep(
-        join_sized(_occurrences(docs), repeated.select(*key), key, "left_semi", F.lit(40)), "chunk-places"
+    repeated = keep(_hashes(docs).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "chunk-hashes")
+    found = join_sized(_places(docs), repeated, key, "left_semi", F.lit(40))
+    left, right = F.substring_index("body", "\n", 1), F.substring_index("body", "\n", -1)
+    same = F.when(F.col("octets") <= BODY_BYTES, F.col("body")).otherwise(F.sha2("body", 256))
+    places = keep(
+        found.withColumns(
+            {
+                "chunk_id": F.struct("chunk_hash", "octets"),
+                "same": same,
+                "left_hash": F.xxhash64(left),
+                "right_hash": F.xxhash64(right),
+                "left_words": _words(left),
+                "right_words": _words(right),
+            }
+        ).drop("chunk_hash", "octets", "body"),
+        "chunk-places",
     )
     firsts = keep(
-        all_places.groupBy("chunk_hash", "octets", "body")
-        .agg(F.min("place").alias("first_place"), F.count("*").alias("members"))
+        places.groupBy("chunk_id", "same")
+        .agg(F.min(F.struct("row_key", "pos")).alias("source"), F.count("*").alias("members"))
         .where("members > 1")
-        .withColumn("chunk_id", F.struct("chunk_hash", "octets"))
-        .withColumn("joined_by", F.when(F.col("octets") <= HEAVY_TEXT_BYTES, F.col("members")).otherwise(F.lit(0)))
-        .select("chunk_id", F.col("body").alias("first_body"), "first_place", "members", "joined_by"),
+        .withColumnRenamed("same", "first_same"),
         "chunk-firsts",
     )
-    places = all_places.withColumn("chunk_id", F.struct("chunk_hash", "octets"))
-    later = join_groups(places, firsts, "chunk_id", "joined_by").where(
-        (F.col("body") == F.col("first_body")) & (F.col("place") != F.col("first_place"))
+    joined = join_groups(places, firsts, "chunk_id", "members").where(F.col("same") == F.col("first_same"))
+    return joined.withColumns({"src": F.col("source.row_key"), "src_pos": F.col("source.pos")}).drop(
+        "chunk_id", "same", "first_same", "source"
     )
-    return later.select("place.row_key", "place.pair", "place.pos", "body", "members")
 
 
 def _common_ends(docs: DataFrame, ends: DataFrame) -> DataFrame:
     """The ends of pairs that are common short lines: they stand more than COMMON_TIMES times as often as the pair."""
-    lines = docs.select(F.explode(_lines()).alias("line")).where(~_is_long(F.col("line"), LONG_LINE_WORDS))
+    lines = docs.select(F.explode(F.split(_text(), "\n", -1)).alias("line")).where(~_is_long(F.col("line"), LONG_LINE_WORDS))
     counts = keep(
         lines.groupBy(F.xxhash64("line").alias("line_hash"))
         .agg(F.count("*").alias("line_places"))
         .where(F.col("line_places") > 2 * COMMON_TIMES),
         "line-counts",
     )
-    return join_groups(ends, counts, "line_hash", "line_places").where(
-        F.col("line_places") > COMMON_TIMES * F.col("members")
-    )
+    return join_groups(ends, counts, "line_hash", "line_places").where(F.col("line_places") > COMMON_TIMES * F.col("members"))
 
 
 def repeated_runs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """row_key and run of each longest run of lines in which every pair stands at an earlier place too.
-
-    A run has its first and last line, and those left without common short lines at its edges (NULL if none is).
-    """
-    line = F.when(F.col("right"), F.substring_index("body", "\n", -1)).otherwise(F.substring_index("body", "\n", 1))
-    ends = keep(
-        pairs.withColumn("right", F.explode(F.array(F.lit(False), F.lit(True)))).select(
-            "row_key", "pos", "right", "members", F.xxhash64(line).alias("line_hash")
-        ),
-        "pair-ends",
+    """row_key, first and last line of each run that goes, see ``line_dedup``; ``pairs`` are all repeated ones, stored."""
+    later = (F.col("row_key") != F.col("src")) | (F.col("pos") != F.col("src_pos"))
+    sides = pairs.where(later).select(
+        "row_key", "pos", "members", F.inline(F.array(*[
+            F.struct(F.lit(right).alias("right"), F.col(h).alias("line_hash")) for right, h in ((False, "left_hash"), (True, "right_hash"))
+        ]))
     )
-    marked = ends.select("row_key", "pos", "right", F.lit(False).alias("common")).unionByName(
-        _common_ends(docs, ends).select("row_key", "pos", "right", F.lit(True).alias("common"))
+    common = _common_ends(docs, keep(sides, "pair-ends")).select(
+        "row_key", "pos", (~F.col("right")).alias("left_common"), F.col("right").alias("right_common")
     )
-    rows = marked.groupBy("row_key", "pos").agg(
-        F.max(~F.col("right") & F.col("common")).alias("left_common"), F.max(F.col("right") & F.col("common")).alias("right_common")
-    )
-    numbered = rows.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("row_key").orderBy("pos")))
-    left, right = F.when(~F.col("left_common"), F.col("pos")), F.when(~F.col("right_common"), F.col("pos") + 1)
-    runs = numbered.groupBy("row_key", "run").agg(
-        F.min("pos").alias("first"),
-        (F.max("pos") + 1).alias("last"),
-        F.min(F.least(left, right)).alias("first_own"),
-        F.max(F.greatest(left, right)).alias("last_own"),
+    rows = pairs.withColumns({"first": ~later, "shift": F.col("src_pos") - F.col("pos")}).drop("left_hash", "right_hash", "members", "src_pos")
+    both = keep(rows.unionByName(common, allowMissingColumns=True), "pair-rows").repartition("row_key")
+    flags = ("left_common", "right_common")
+    one_each = both.groupBy("row_key", "pos").agg(
+        *[F.any_value(c, True).alias(c) for c in rows.columns if c not in ("row_key", "pos")],
+        *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags],
     )
-    return runs.select("row_key", F.struct("first", "last", "first_own", "last_own").alias("run"))
-
-
-def _removed_runs(lines: Column, runs: Column, gone_chunks: Column) -> Column:
-    """Array of (first, last) of the runs that go, see line_dedup."""
-
-    def goes(run: Column) -> Column:
-        words = F.aggregate(
-            F.slice(lines, run["first"], run["last"] - run["first"] + 1),
-            F.lit(0),
-            lambda n, line: n + F.size(F.filter(F.split(line, r"\s+"), lambda x: x != "")),
-        )
-        return (words >= LONG_LINE_WORDS) | F.exists(gone_chunks, lambda c: c["first"].between(run["first"], run["last"]))
 
-    def whole(run: Column) -> Column:
-        return (run["first"] == 1) & (run["last"] == F.size(lines))
-
-    def own(run: Column) -> Column:
-        return F.struct(run["first_own"].alias("first"), run["last_own"].alias("last"))
+    # Rows that follow each other, first places and later ones alike.
+    text = Window.partitionBy("row_key").orderBy("pos")
+    before = F.lag(F.struct("pos", "first", "src", "shift")).over(text)
+    after = F.lead(F.struct("pos", "first")).over(text)
+    steps = one_each.withColumns(
+        {
+            "touched": F.coalesce(before["pos"] == F.col("pos") - 1, F.lit(False)),
+            "goes_on": F.coalesce(
+                (before["pos"] == F.col("pos") - 1) & ~before["first"] & (before["src"] == F.col("src")) & (before["shift"] == F.col("shift")),
+                F.lit(False),
+            ),
+            "guarded": F.coalesce((after["pos"] == F.col("pos") + 1) & after["first"], F.lit(False)),
+        }
+    ).withColumn("run", F.sum(F.when(F.col("first") | ~F.col("goes_on"), 1).otherwise(0)).over(text))
 
-    copies = F.transform(F.filter(runs, whole), lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last")))
-    parts = F.transform(F.filter(runs, lambda r: ~whole(r) & (r["last_own"] > r["first_own"])), own)
-    return F.concat(copies, F.filter(parts, goes))
+    # A line that it shares with the run before belongs to that; a line of a first place stays.
+    run = Window.partitionBy("row_key", "run")
+    begin = F.min(F.col("pos") + F.when(~F.col("goes_on") & F.col("touched"), 1).otherwise(0)).over(run)
+    end = F.max(F.col("pos") + F.when(F.col("guarded"), 0).otherwise(1)).over(run)
+    left, right = F.when(~F.col("left_common"), F.col("pos")), F.when(~F.col("right_common"), F.col("pos") + 1)
+    ranged = steps.where(~F.col("first")).withColumns(
+        {"begin": begin, "end": end, "own_begin": F.min(F.least(left, right)).over(run), "own_end": F.max(F.greatest(left, right)).over(run)}
+    )
+    whole = (F.col("begin") == 1) & (F.col("end") == F.col("n_lines"))
+    ranged = ranged.withColumns(
+        {
+            "first_line": F.when(whole, F.col("begin")).otherwise(F.greatest("begin", F.coalesce("own_begin", F.col("end") + 1))),
+            "last_line": F.when(whole, F.col("end")).otherwise(F.least("end", "own_end")),
+            "whole": whole,
+            "last_pos": F.max("pos").over(run),
+        }
+    )
+    so_far = run.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = F.col("pos").between(F.col("first_line"), F.col("last_line"))
+    tail = (F.col("pos") == F.col("last_pos")) & (F.col("pos") < F.col("last_line"))
+    judged = ranged.withColumns(
+        {
+            "words": F.when(within, F.col("left_words")).otherwise(0) + F.when(tail, F.col("right_words")).otherwise(0),
+            "chunk_start": F.max(F.when(F.col("starts") & (F.col("pos") >= F.col("first_line")), F.col("pos"))).over(so_far),
+        }
+    )
+    a_chunk = F.col("inner") & F.col("stops") & (F.col("pos") < F.col("last_line")) & F.col("chunk_start").isNotNull()
+    runs = judged.groupBy("row_key", "run", "first_line", "last_line", "whole").agg(
+        F.sum("words").alias("words"), F.bool_or(a_chunk).alias("has_chunk")
+    )
+    goes = F.col("whole") | F.col("has_chunk") | (F.col("words") >= LONG_LINE_WORDS)
+    return runs.where((F.col("last_line") > F.col("first_line")) & goes).select("row_key", "first_line", "last_line")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """The documents with later occurrences of repeated chunks and runs of lines cut out of ``text``.
-
-    Added columns: chunks_total, chunks_removed (nothing of them is left), bytes_removed, and emptied (something was cut
-    and nothing is left).
-
-    - The first occurrence, by doc_id (NULL first) and position, stays; the rest of each text stays as it is.
-    - A chunk of one line goes only if it has LONG_LINE_WORDS words or more; so common short lines stay.
-    - A run of two lines or more, each pair of which stands at an earlier place too, goes whole if it has LONG_LINE_WORDS
-      words or holds a chunk that goes, without the common short lines at its edges; it goes with them if it is the text.
-    - NULL text stays NULL and an empty one empty: neither has a chunk to lose. n_chars follows a changed text.
+    """The documents with later occurrences of repeated runs of lines cut out of ``text``.
+
+    Added columns: chunks_total (content-defined chunks of the given text), chunks_removed (runs and long lines cut),
+    bytes_removed, and emptied (something was cut and nothing is left).
+
+    - Places go by doc_id (NULL first) and position. A line of LONG_LINE_WORDS words or more stays at its first place and
+      goes from all others.
+    - A pair of neighbouring short lines has a first place too, whose two lines always stay. A run is as many neighbouring
+      lines as stand, in one piece, at the first places of their pairs. It goes if it has LONG_LINE_WORDS words, holds a whole
+      chunk of several lines, or is the whole text. So every piece that goes is left, in one piece, in one other place.
+    - Common short lines at the edges of a run stay (see COMMON_TIMES), unless it is the whole text. A line that two runs
+      share belongs to the one before it; what is left of the other goes if it still has two lines.
+    - A single short line never goes by itself.
+    - NULL text stays NULL and an empty one empty. n_chars follows a changed text.
     - Rows repeated whole are one row as to places: they keep and lose the same.
     - An empty table gives no rows. Input columns with the names of added ones give way.
     """
-    docs = docs.drop(
-        "chunks_total", "chunks_removed", "bytes_removed", "emptied", "removed_places", "removed_runs", "row_key", "rebuilt"
-    )
-    later = keep(repeated_places(docs), "chunk-later")
-    runs = repeated_runs(docs, later.where("pair").select("row_key", "pos", "body", "members"))
-    removed = keep(
-        later.where(~F.col("pair"))
-        .select("row_key", "pos")
-        .unionByName(runs, allowMissingColumns=True)
+    docs = docs.drop(*_STEPS)
+    repeated = keep(repeated_places(docs), "chunk-repeated")
+    line = F.col("pos").cast("int")
+    long_lines = repeated.where(
+        F.col("long") & ((F.col("row_key") != F.col("src")) | (F.col("pos") != F.col("src_pos")))
+    ).select("row_key", line.alias("first_line"), line.alias("last_line"))
+    runs = repeated_runs(docs, repeated.where(~F.col("long")).drop("long"))
+    cut = keep(
+        long_lines.unionByName(runs)
         .groupBy("row_key")
-        .agg(F.collect_set("pos").alias("removed_places"), F.collect_list("run").alias("removed_runs")),
-        "chunk-removals",
+        .agg(F.array_sort(F.collect_set(F.struct("first_line", "last_line"))).alias("cuts")),
+        "chunk-cuts",
     )
-    keyed = docs.withColumn("row_key", _row_key())
-    row_bytes = 64 + 4 * F.size("removed_places") + 24 * F.size("removed_runs")
-    joined = join_sized(keyed, removed, ["row_key"], "left", row_bytes)
-    gone = F.coalesce("removed_places", F.array().cast("array<int>"))
-    runs_found = F.coalesce("removed_runs", F.array().cast("array<struct<first:int,last:int,first_own:int,last_own:int>>"))
-    parts = chunks(F.coalesce("text", F.lit("")))
-
-    def rebuilt(all_parts: Column) -> Column:
-        cut_chunks = F.filter(all_parts, lambda c: F.array_contains(gone, c["pos"]))
-        return let(
-            F.struct(cut_chunks.alias("chunks"), _removed_runs(_lines(), runs_found, cut_chunks).alias("runs")),
-            lambda cuts: left_over(all_parts, cuts),
-        )
+    joined = join_sized(docs.withColumn("row_key", _row_key()), cut, ["row_key"], "left", 64 + 8 * F.size("cuts"))
 
-    def left_over(all_parts: Column, cuts: Column) -> Column:
-        def lines_left(c: Column) -> Column:
-            lines = F.split(c["body"], "\n", -1)
-            in_run = lambda i: F.exists(cuts["runs"], lambda r: i.between(r["first"], r["last"]))
-            kept = F.filter(lines, lambda _, i: ~in_run(c["first"] + i))
-            return F.when(F.array_contains(gone, c["pos"]), F.slice(lines, 1, 0)).otherwise(kept)
-
-        return let(
-            F.transform(all_parts, lines_left),
-            lambda left: F.struct(
-                F.size(all_parts).alias("total"),
-                F.size(F.filter(left, lambda x: F.size(x) == 0)).alias("removed"),
-                (F.size(cuts["chunks"]) + F.size(cuts["runs"]) > 0).alias("changed"),
-                F.array_join(F.flatten(left), "\n").alias("text"),
-            ),
-        )
+    def left_over(lines: Column) -> Column:
+        def between(k: Column) -> Column:
+            first = F.coalesce(F.get("cuts", k - 1)["last_line"], F.lit(0)) + 1
+            until = F.coalesce(F.get("cuts", k)["first_line"], F.size(lines) + 1)
+            return F.slice(lines, first, until - first)
 
-    done = joined.withColumn("rebuilt", let(parts, rebuilt))
-    changed = F.col("rebuilt.changed")
-    before = F.octet_length("text")
-    new_text = F.when(changed, F.col("rebuilt.text")).otherwise(F.col("text"))
-    done = done.withColumns(
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts")), between)), "\n")
+
+    changed = F.col("cuts").isNotNull()
+    rebuilt = F.when(changed, let(F.split(_text(), "\n", -1), left_over))
+    total = _parsed(_text(), BOUNDARY_DIGITS, LONG_LINE_WORDS, lambda t: F.size(F.filter(t["ends"], lambda end: end)))
+    done = joined.withColumn("rebuilt", rebuilt).withColumns(
         {
-            "chunks_total": F.col("rebuilt.total"),
-            "chunks_removed": F.col("rebuilt.removed"),
-            "bytes_removed": F.when(changed, before - F.octet_length("rebuilt.text")).otherwise(F.lit(0)),
-            "emptied": changed & (F.length("rebuilt.text") == 0),
+            "chunks_total": total,
+            "chunks_removed": F.when(changed, F.size("cuts")).otherwise(0),
+            "bytes_removed": F.when(changed, F.octet_length("text") - F.octet_length("rebuilt")).otherwise(0).cast("long"),
+            "emptied": changed & (F.length("rebuilt") == 0),
         }
-    ).withColumn("text", new_text)
+    )
+    done = done.withColumn("text", F.when(changed, F.col("rebuilt")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(
-        *docs.columns, "chunks_total", "chunks_removed", F.col("bytes_removed").cast("long").alias("bytes_removed"), "emptied"
-    )
+    return done.select(*docs.columns, "chunks_total", "chunks_removed", "bytes_removed", "emptied")
 
 
 def op9_line_dedup(spark, sf_dir):
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "text", "chunks_total", "chunks_removed", "bytes_removed")
 
 
-ORACLE = """
-WITH lines AS (
-    SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+ORACLE = r"""
+WITH lines AS MATERIALIZED (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
            unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i
     FROM documents
+), counted AS (
+    SELECT *, len(list_filter(string_split_regex(line, '[\x09-\x0D\x20]+'), lambda x: x <> '')) AS words FROM lines
 ), marked AS (
-    SELECT *, len(line) - len(replace(line, ' ', '')) >= 49 AS long,
-           lag(md5(line)) OVER w AS previous,
-           coalesce(lead(len(line) - len(replace(line, ' ', '')) >= 49) OVER w, true) AS long_or_end_next
-    FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+    SELECT *, words >= 50 AS long, lead(line) OVER w AS after, lead(words) OVER w AS words_after, lag(line) OVER w AS previous,
+           count(*) OVER (PARTITION BY doc_id) AS n
+    FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), cut AS (
-    SELECT *, long OR long_or_end_next OR coalesce(substr(md5(previous || md5(line)), 1, 1) <= '7', false) AS last
+    SELECT *, long OR coalesce(words_after >= 50, true)
+              OR coalesce(substr(md5(md5(previous) || md5(line)), 1, 1) <= '7', false) AS e
     FROM marked
+), flagged AS MATERIALIZED (
+    SELECT *, coalesce(lag(e) OVER w, true) AS starts, NOT e AS inside, lead(e) OVER w AS stops
+    FROM cut WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), totals AS (
+    SELECT doc_id, count(*) FILTER (e) AS total FROM cut GROUP BY doc_id
+), pairs AS (
+    SELECT *, count(*) OVER same AS members, first_value(doc_id) OVER place AS src, first_value(i) OVER place AS src_i
+    FROM flagged WHERE NOT long AND words_after < 50
+    WINDOW same AS (PARTITION BY line, after), place AS (PARTITION BY line, after ORDER BY doc_id, i)
+), common AS (
+    SELECT line, count(*) AS places FROM marked WHERE NOT long GROUP BY line
+), repeated AS (
+    SELECT p.*, src = doc_id AND src_i = i AS first, a.places > 2 * members AS left_common, b.places > 2 * members AS right_common
+    FROM pairs p JOIN common a ON a.line = p.line JOIN common b ON b.line = p.after
+    WHERE members > 1
+), steps AS (
+    SELECT *, coalesce(lag(i) OVER w = i - 1, false) AS touched,
+           coalesce(lag(i) OVER w = i - 1 AND NOT lag(first) OVER w AND lag(src) OVER w = src AND lag(src_i) OVER w = src_i - 1, false) AS goes_on,
+           coalesce(lead(i) OVER w = i + 1 AND lead(first) OVER w, false) AS guarded
+    FROM repeated WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), numbered AS (
-    SELECT *, coalesce(sum(last::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS pos
-    FROM cut
-), pieces AS (
-    SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS body, count(*) > 1 OR bool_or(long) AS eligible
-    FROM numbered GROUP BY doc_id, pos
-), ranked AS (
-    SELECT *, eligible AND row_number() OVER (PARTITION BY body, eligible ORDER BY doc_id, pos) > 1 AS gone FROM pieces
+    SELECT *, sum(CASE WHEN first OR NOT goes_on THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps
+), ranged AS (
+    SELECT *, min(i + (NOT goes_on AND touched)::INT) OVER r AS a, max(i + (NOT guarded)::INT) OVER r AS z,
+           min(CASE WHEN NOT left_common THEN i WHEN NOT right_common THEN i + 1 END) OVER r AS own_a,
+           max(CASE WHEN NOT right_common THEN i + 1 WHEN NOT left_common THEN i END) OVER r AS own_z,
+           max(i) OVER r AS last_i
+    FROM numbered WHERE NOT first WINDOW r AS (PARTITION BY doc_id, run)
+), trimmed AS (
+    SELECT *, a = 1 AND z = n AS whole, CASE WHEN a = 1 AND z = n THEN a ELSE greatest(a, coalesce(own_a, z + 1)) END AS f,
+           CASE WHEN a = 1 AND z = n THEN z ELSE least(z, own_z) END AS l
+    FROM ranged
+), chunked AS (
+    SELECT *, max(i) FILTER (starts AND i >= f) OVER (PARTITION BY doc_id, run ORDER BY i) AS s FROM trimmed
+), runs AS (
+    SELECT doc_id, f, l FROM chunked GROUP BY doc_id, run, f, l, whole
+    HAVING l > f AND (whole OR bool_or(inside AND stops AND i < l AND s IS NOT NULL)
+        OR sum(CASE WHEN i BETWEEN f AND l THEN words ELSE 0 END + CASE WHEN i = last_i AND i < l THEN words_after ELSE 0 END) >= 50)
+), cuts AS (
+    SELECT * FROM runs
+    UNION ALL
+    SELECT doc_id, i, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS k FROM marked WHERE long) WHERE k > 1
+), gone AS (
+    SELECT doc_id, count(*) AS n_cuts, flatten(list(generate_series(f, l))) AS numbers FROM cuts GROUP BY doc_id
 ), rebuilt AS (
-    SELECT doc_id, string_agg(body, chr(10) ORDER BY pos) FILTER (NOT gone) AS body,
-           count(*) AS total, count(*) FILTER (gone) AS removed
-    FROM ranked GROUP BY doc_id
+    SELECT l.doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (g.doc_id IS NULL OR NOT list_contains(g.numbers, i)) AS body, any_value(n_cuts) AS n_cuts
+    FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id GROUP BY l.doc_id
 )
 SELECT doc_id,
-       CASE WHEN removed > 0 THEN coalesce(body, '') ELSE text END AS text,
-       total::INTEGER AS chunks_total, removed::INTEGER AS chunks_removed,
-       CASE WHEN removed > 0 THEN strlen(text) - strlen(coalesce(body, '')) ELSE 0 END::BIGINT AS bytes_removed
-FROM rebuilt JOIN documents USING (doc_id)
+       CASE WHEN n_cuts > 0 THEN coalesce(body, '') ELSE text END AS text,
+       total::INTEGER AS chunks_total, coalesce(n_cuts, 0)::INTEGER AS chunks_removed,
+       CASE WHEN n_cuts > 0 THEN strlen(text) - strlen(coalesce(body, '')) ELSE 0 END::BIGINT AS bytes_removed
+FROM rebuilt JOIN totals USING (doc_id) JOIN documents USING (doc_id)
 """
