@@ -99,6 +99,23 @@ def ordered(cells: DataFrame) -> DataFrame:
     return runs.join(F.broadcast(starts), "run").withColumn("rank", F.col("start") + F.col("place"))
 
 
+def _curve_rows(docs: DataFrame, bits: int, *more: str) -> DataFrame:
+    """Stored doc_id, size, text_crc32, curve and further columns of every document."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = (F.octet_length(text) + 1).cast("long")
+    curve = hilbert_index(metadata_cell(F.col("lang"), F.col("source"), F.col("size"), bits), bits)
+    rows = docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(text).alias("text_crc32"), *more)
+    return keep(rows.select("doc_id", "size", "text_crc32", curve.alias("curve"), *more), "curve-cells")
+
+
+def _in_shards(cells: DataFrame, shards: int) -> DataFrame:
+    """The stored rows with their shard and their slot in it."""
+    total = cells.count()
+    of_rank = F.expr(f"CAST((rank * {shards}) DIV {max(total, 1)} AS INT)")
+    first = F.expr(f"(CAST(shard AS LONG) * {total} + {shards - 1}) DIV {shards}")
+    return ordered(cells).withColumn("shard", of_rank).withColumn("slot", F.col("rank") - first)
+
+
 def shard_plan(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, curve, shard, slot of every document; shard sizes differ by one row at most.
 
@@ -109,36 +126,21 @@ def shard_plan(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataF
     - With fewer rows than shards some shards are empty; an empty table gives no rows.
     - Further columns are not read, whatever their names.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        "doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
-    )
-    cells = keep(
-        rows.select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            hilbert_index(metadata_cell(F.col("lang"), F.col("source"), F.col("size"), bits), bits).alias("curve"),
-        ),
-        "curve-cells",
-    )
-    total = cells.count()
-    of_rank = F.expr(f"CAST((rank * {shards}) DIV {max(total, 1)} AS INT)")
-    first = F.expr(f"(CAST(shard AS LONG) * {total} + {shards - 1}) DIV {shards}")
-    return (
-        ordered(cells)
-        .withColumn("shard", of_rank)
-        .withColumn("slot", F.col("rank") - first)
-        .select("doc_id", "size", "text_crc32", "curve", "shard", "slot")
-    )
+    placed = _in_shards(_curve_rows(docs, bits), shards)
+    return placed.select("doc_id", "size", "text_crc32", "curve", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, plan: DataFrame, folder: str) -> None:
-    """The documents themselves, one folder per shard, sorted along the curve so that file and row-group ranges are narrow."""
-    placed = docs.join(plan.select("doc_id", "shard", "slot"), "doc_id")
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy(
-        "shard"
-    ).parquet(folder)
+def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, bits: int = BITS) -> None:
+    """The documents themselves, one folder per shard, sorted along the curve so that file and row-group ranges are narrow.
+
+    The whole rows go through the one sort by the curve, so nothing is joined back: each row is written once, with
+    the shard and order of ``shard_plan``, also without doc_id or with a repeated one. A column named shard gives way. An
+    empty table leaves a folder without rows.
+    """
+    given = [c for c in docs.columns if c != "shard"]
+    whole = docs.withColumn("document", F.struct(*given))
+    placed = _in_shards(_curve_rows(whole, bits, "document"), shards)
+    placed.sortWithinPartitions("shard", "slot").select("document.*", "shard").write.partitionBy("shard").parquet(folder)
 
 
 def op6_hilbert_shards(spark, sf_dir):

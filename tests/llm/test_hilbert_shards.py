@@ -44,11 +44,21 @@ def test_empty(empty):
     assert shard_plan(empty).collect() == []
 
 
-def test_files(spark, tmp_path):
+def test_files(spark, tmp_path, edges, empty):
     docs = frame(spark, [(i, "x" * (i % 50), "en", f"s{i % 5}") for i in range(200)]).drop("shard")
+    write_shards(docs, f"{tmp_path}/out", shards=4)
+    written = spark.read.parquet(f"{tmp_path}/out")
+    assert {r["shard"]: r["count"] for r in written.groupBy("shard").count().collect()} == {s: 50 for s in range(4)}
     plan = shard_plan(docs, shards=4)
-    write_shards(docs, plan, f"{tmp_path}/out")
-    assert {r["shard"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/out").groupBy("shard").count().collect()} == {s: 50 for s in range(4)}
+    assert sorted(written.select("doc_id", "shard").collect()) == sorted(plan.select("doc_id", "shard").collect())
+
+    # Rows without doc_id, with a repeated one, and with clashing columns are written once each.
+    write_shards(edges, f"{tmp_path}/edges", shards=4)
+    columns = [c for c in edges.columns if c != "shard"]
+    written = spark.read.parquet(f"{tmp_path}/edges")
+    assert Counter(written.select(*columns).collect()) == Counter(edges.select(*columns).collect())
+    write_shards(empty, f"{tmp_path}/empty", shards=4)
+    assert spark.read.schema(edges.schema).parquet(f"{tmp_path}/empty").count() == 0
 
 
 def test_no_python_in_plan(edges):
