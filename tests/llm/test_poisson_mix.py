@@ -71,3 +71,16 @@ def test_order_is_random_and_repeatable(spark):
 
 def test_empty(empty):
     assert mix(empty).collect() == []
+
+
+def test_a_very_large_rate(spark):
+    """Two rows of a tiny source beside a large text: a rate of a million, drawn in a hundred parts."""
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, [(1, "", "en", "tiny"), (2, "ab", "en", "tiny"), (3, "x" * 8_000_000, "en", "large")])
+    found = mix(docs).where("source = 'tiny'").groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("different"))
+    rows = {r["doc_id"]: r for r in found.collect()}
+    rate = (8_000_001 + 4) / (2 * 4)
+    for doc_id in (1, 2):
+        assert abs(rows[doc_id]["n"] - rate) < 6 * math.sqrt(rate) and rows[doc_id]["different"] == rows[doc_id]["n"]
+    assert rows[1]["n"] != rows[2]["n"]
