@@ -19,12 +19,12 @@ LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Parts of words, and ids of them, that a Python worker remembers after a slice; beyond that it starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 CACHE_IDS = 4_000_000
 #: Longer parts are forgotten after their slice.
 KNOWN_BYTES = 64
 #: Bytes of text that are split into words at once.
-SLICE_BYTES = 16 * 1024 * 1024
+SLICE_BYTES = 8 * 1024 * 1024
 
 _ENCODERS: dict = {}
 #: ASCII marks but the apostrophe, which the tokenizer can join to letters.
