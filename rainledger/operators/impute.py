@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from rainledger.operators.lookup import join_lookup, measured_bytes
-from rainledger.shared import kept
-from rainledger.sources.schemas import MEAN_READING, SUM_READING
+from rainledger.operators.lookup import join_lookup, row_bytes
+from rainledger.shared import new_folder
+from rainledger.sources.schemas import MEAN_READING
 
 TEXT = "description"
 # Rung name -> the line's columns it is looked up by, nearest rung first.
@@ -43,60 +43,76 @@ def _readings(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
 
 
+def _placed(tables: dict[str, DataFrame], reference: DataFrame) -> DataFrame:
+    """Every reading once for each state of its city; ``own`` marks one of them, also where no state is known."""
+    one_each = Window.partitionBy("city").orderBy("state")
+    places = reference.withColumn("own", F.row_number().over(one_each) == 1)
+    joined = _readings(tables).join(places, "city", "left")
+    return joined.withColumn("own", F.coalesce("own", F.lit(True)))
+
+
 def _sums(name: str) -> list[Column]:
     if name == TEXT:
         return [F.min(name).alias(name)]
+    once = F.when(F.col("own"), F.col(name))
     return [
         F.max(name).alias(f"max_{name}"),
         F.sum(name).alias(f"sum_{name}"),
         F.count(name).alias(f"count_{name}"),
+        F.sum(once).alias(f"own_sum_{name}"),
+        F.count(once).alias(f"own_count_{name}"),
     ]
 
 
-def _rolled_up(name: str) -> list[Column]:
-    if name == TEXT:
-        return [F.min(name).alias(name)]
-    return [
-        F.sum(f"sum_{name}").cast(SUM_READING).alias(f"sum_{name}"),
-        F.sum(f"count_{name}").alias(f"count_{name}"),
-    ]
-
-
-def _value(name: str, rung: str) -> Column:
+def _value(name: str) -> Column:
     if name == TEXT:
-        found = F.col(name)
-    elif rung == "city":
-        found = F.col(f"max_{name}")
-    else:
-        found = F.try_divide(F.col(f"sum_{name}"), F.col(f"count_{name}"))
-    return (found if name == TEXT else found.cast(MEAN_READING)).alias(f"{rung}_{name}")
+        return F.col(name)
+    rung = F.col("rung")
+    mean = F.try_divide(F.col(f"sum_{name}"), F.col(f"count_{name}")).cast(MEAN_READING)
+    own_mean = F.try_divide(F.col(f"own_sum_{name}"), F.col(f"own_count_{name}")).cast(MEAN_READING)
+    city = F.col(f"max_{name}").cast(MEAN_READING)
+    return F.when(rung == "city", city).when(rung == "date", own_mean).otherwise(mean).alias(name)
 
 
-def rungs(tables: dict[str, DataFrame], reference: DataFrame) -> dict[str, DataFrame]:
-    """One stored lookup per rung holding ``<rung>_<measure>`` for every measure.
+def lookup_rows(tables: dict[str, DataFrame], reference: DataFrame) -> DataFrame:
+    """rung, order_date, place and one value per measure: all four rungs from one aggregation.
 
-    The readings are summed up once per day and city; days and states add those sums up, and regions
-    those of their states. A city listed under several states of a region counts once for each of them
-    in the region's mean. Each step is written once, so nothing is computed again by the size check or the joins.
+    The grouping sets are (day, city), (day, state), (day, region) and (day). A city listed under several states of a
+    region counts once for each of them in the region's mean, and once in the day's. Days and places that are NULL
+    meet no line and are left out.
     """
+    columns = ["order_date", "city", "state", "region"]
+    sets = [[F.col(c) for c in keys] for keys in RUNGS.values()]
+    grouped = _placed(tables, reference).groupingSets(sets, *[F.col(c) for c in columns])
+    # One bit per column, the first one the highest: set where the column is no key of the row's set.
+    unused = {sum(1 << (3 - i) for i, c in enumerate(columns) if c not in keys): rung for rung, keys in RUNGS.items()}
+    rung = reduce(lambda chain, item: chain.when(F.col("unused") == item[0], F.lit(item[1])), unused.items(), F)
+    sums = [c for name in tables for c in _sums(name)]
+    rows = grouped.agg(F.grouping_id().alias("unused"), *sums).withColumns(
+        {"rung": rung, "place": F.coalesce("city", "state", "region")}
+    )
+    known = F.col("order_date").isNotNull() & ((F.col("rung") == "date") | F.col("place").isNotNull())
+    return rows.filter(known).select("rung", "order_date", "place", *[_value(name) for name in tables])
 
-    def rolled(source: DataFrame, rung: str, *keys: str) -> DataFrame:
-        sums = [c for name in tables for c in _rolled_up(name)]
-        return kept(source.dropna(subset=RUNGS[rung]).groupBy(*RUNGS[rung], *keys).agg(*sums), f"{rung}-sums")
 
-    sums = [c for name in tables for c in _sums(name)]
-    cells = kept(_readings(tables).groupBy("order_date", "city").agg(*sums), "city-sums")
-    states = rolled(cells.join(reference, "city"), "state", "region")
-    sources = {
-        "city": cells,
-        "state": rolled(states, "state"),
-        "region": rolled(states, "region"),
-        "date": rolled(cells, "date"),
-    }
-    return {
-        rung: source.dropna(subset=RUNGS[rung]).select(*RUNGS[rung], *[_value(name, rung) for name in tables])
-        for rung, source in sources.items()
-    }
+def rungs(tables: dict[str, DataFrame], reference: DataFrame) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """One lookup per rung holding ``<rung>_<measure>`` for every measure, and the bytes of each.
+
+    All of them are one stored table with a folder per rung; the bytes are counted while it is written.
+    """
+    rows, seen = lookup_rows(tables, reference), Observation()
+    counted = rows.observe(
+        seen, *[F.coalesce(F.sum(F.when(F.col("rung") == rung, row_bytes(rows))), F.lit(0)).alias(rung) for rung in RUNGS]
+    )
+    path = new_folder(rows.sparkSession, "rungs")
+    counted.write.partitionBy("rung").parquet(path)
+    stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    lookups = {}
+    for rung, keys in RUNGS.items():
+        values = [F.col(name).alias(f"{rung}_{name}") for name in tables]
+        own = [F.col("order_date"), *[F.col("place").alias(c) for c in keys[1:]]]
+        lookups[rung] = stored.filter(F.col("rung") == rung).select(*own, *values)
+    return lookups, seen.get
 
 
 def _level(name: str) -> Column:
@@ -117,8 +133,7 @@ def impute(
     The four rungs of all measures share four joins. With ``levels`` each measure also
     gets ``<measure>_level``: city, state, region, date or none.
     """
-    lookups = rungs(tables, reference)
-    sizes = measured_bytes(lookups)
+    lookups, sizes = rungs(tables, reference)
     found = orders
     for rung, keys in RUNGS.items():
         found = join_lookup(found, lookups[rung], keys, "left", size=sizes[rung], ready=True)

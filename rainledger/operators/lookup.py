@@ -20,7 +20,8 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(LIMIT_SETTING, str(DEFAULT_LIMIT)))
 
 
-def _row_bytes(table: DataFrame) -> Column:
+def row_bytes(table: DataFrame) -> Column:
+    """A row of the table in memory: a fixed share per column, and its texts."""
     fixed = F.lit(_ROW_OVERHEAD + _FIELD_BYTES * len(table.columns)).cast("long")
     texts = [f.name for f in table.schema.fields if isinstance(f.dataType, StringType)]
     return reduce(lambda acc, name: acc + F.coalesce(F.octet_length(name), F.lit(0)), texts, fixed)
@@ -29,7 +30,7 @@ def _row_bytes(table: DataFrame) -> Column:
 def measured_bytes(lookups: dict[str, DataFrame]) -> dict[str, int]:
     """Size of every row and text of each lookup, counted by Spark in one job."""
     parts = [
-        table.agg(F.coalesce(F.sum(_row_bytes(table)), F.lit(0)).alias("bytes")).select(
+        table.agg(F.coalesce(F.sum(row_bytes(table)), F.lit(0)).alias("bytes")).select(
             F.lit(name).alias("name"), "bytes"
         )
         for name, table in lookups.items()

@@ -28,7 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FALLBACK[app]
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The path as Hadoop sees it, and the file system it lies in."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -37,7 +38,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder of this application; all of them are deleted when the application ends."""
     own = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
     if own not in _DELETED_AT_EXIT:
-        path, files = _file_system(spark, own)
+        path, files = file_system(spark, own)
         files.mkdirs(path)
         files.deleteOnExit(path)
         _DELETED_AT_EXIT.add(own)
@@ -48,7 +49,7 @@ def file_state(spark: SparkSession, *tables: str) -> tuple:
     """Name, size and time of every file of the tables: what tells that an input has changed."""
     state = []
     for table in tables:
-        path, files = _file_system(spark, table)
+        path, files = file_system(spark, table)
         found = files.listStatus(path) if files.exists(path) else []
         state += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found]
     return tuple(sorted(state))
