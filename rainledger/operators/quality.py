@@ -42,18 +42,19 @@ def clean_rules() -> list[Rule]:
     return [*not_null_rules(), *range_rules(), Rule("ship_date is not a date", readable)]
 
 
-def _passes(rule: Rule) -> Column:
+def passes(rule: Rule) -> Column:
+    """A rule that gives NULL is kept."""
     return F.coalesce(rule.holds, F.lit(True))
 
 
 def reject_reason(rules: Sequence[Rule]) -> Column:
     """Names of all broken rules, NULL if there are none."""
-    broken = F.concat_ws("; ", *[F.when(~_passes(rule), F.lit(rule.name)) for rule in rules])
+    broken = F.concat_ws("; ", *[F.when(~passes(rule), F.lit(rule.name)) for rule in rules])
     return F.nullif(broken, F.lit(""))
 
 
 def split(table: DataFrame, rules: Sequence[Rule]) -> Split:
-    everything = reduce(lambda a, b: a & b, [_passes(rule) for rule in rules])
+    everything = reduce(lambda a, b: a & b, [passes(rule) for rule in rules])
     rejected = table.withColumn("reject_reason", reject_reason(rules)).filter(~everything)
     return Split(table.filter(everything), rejected)
 

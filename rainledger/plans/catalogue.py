@@ -23,7 +23,7 @@ from rainledger.plans import final_reports as final_
 from rainledger.plans import weather_reports as weather_
 from rainledger.shared import new_folder
 from rainledger.sources import driver_tables as source
-from rainledger.sources import readers, schemas, writers
+from rainledger.sources import clean_table, readers, schemas, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,6 +97,32 @@ def write_clean(spark: SparkSession, sf: str) -> DataFrame:
     return writers.read_clean(spark, path)
 
 
+def insert_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """A strict load of the lines of the first years, one of all lines, and that again, read back."""
+    path = new_folder(spark, "clean_table")
+    lines = enrich.typed_lines(enriched(spark, sf))
+    early = lines.filter(F.col("order_date") < F.lit(SLICE[0]))
+    for load in (early, lines, lines):
+        clean_table.insert(load, path, enrich.line_rules())
+    return clean_table.read(spark, path)
+
+
+def load_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of lines of which some break rules, counted while they were written."""
+    path = new_folder(spark, "clean_table")
+    load = clean_table.insert(enrich.typed_lines(faulty(spark, sf)), path, enrich.line_rules(), strict=False)
+    return load.as_rows(spark)
+
+
+def loaded_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines that a load set apart, read back from beside the table."""
+    path = new_folder(spark, "clean_table")
+    clean_table.insert(enrich.typed_lines(faulty(spark, sf)), path, enrich.line_rules(), strict=False)
+    return clean_table.rejected(spark, path).select(
+        "row_id", "order_id", "order_date_text", "ship_date_text", "city", "reject_reason"
+    )
+
+
 def check_not_null(spark: SparkSession, sf: str) -> DataFrame:
     # The test data lacks no required value; two optional columns give rejects to count.
     columns = (*schemas.REQUIRED, "ship_date", "discount")
@@ -197,6 +223,9 @@ QUERIES: dict[str, Query] = {
     "scan_all": lambda s, d: readers.scan_all(source.raw_lines(s, d)),
     "sample_rows": lambda s, d: final_.sample_rows(final(s, d, products=False)),
     "write_clean": write_clean,
+    "insert_clean": insert_clean,
+    "load_outcomes": load_outcomes,
+    "loaded_rejects": loaded_rejects,
     "orders_view": view,
     "clear_weather_view": lambda s, d: weather_.clear_weather_view(s, clean(s, d, products=False)),
     # joins

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from rainledger.operators.quality import not_null_rules, passes, range_rules
+from rainledger.shared import file_system
 from rainledger.sources.schemas import CLEAN_COLUMNS, ORDERS_TYPED, READING
 
 _TYPED = {field.name: field.dataType for field in ORDERS_TYPED}
@@ -23,16 +26,43 @@ CLEAN = StructType(
 )
 
 
-def write_clean(clean: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Parquet folders per order year, sorted inside by weather text and region.
+def arranged(lines: DataFrame, *folders: str) -> DataFrame:
+    """Lines spread by the columns that name their folders, sorted inside by weather text and region.
 
-    A period given to ``read_clean`` then skips folders and a weather filter skips row groups. The
-    rebalance hint lets adaptive execution split a heavy year and join up light ones.
+    A period then skips folders and a weather filter skips row groups. The rebalance hint lets adaptive execution
+    split a heavy folder and join up light ones.
+    """
+    return lines.hint("rebalance", *folders).sortWithinPartitions(*folders, "weather_description", "region")
+
+
+def write_clean(clean: DataFrame, path: str, mode: str = "errorifexists", strict: bool = False) -> None:
+    """Parquet folders per order year, laid out for later filters.
+
+    With ``strict`` a line without a required value, or with one out of range, refuses the whole write: the lines are
+    checked while they are written to a folder aside, which takes the place of ``path`` in one rename. That needs a
+    ``path`` that isn't there yet; ``clean_table.insert`` adds to a table that has rows.
     """
     by_year = clean.select(*CLEAN_COLUMNS).withColumn("order_year", F.year("order_date"))
-    spread = by_year.hint("rebalance", "order_year")
-    layout = spread.sortWithinPartitions("order_year", "weather_description", "region")
-    layout.write.mode(mode).partitionBy("order_year").parquet(path)
+    if not strict:
+        arranged(by_year, "order_year").write.mode(mode).partitionBy("order_year").parquet(path)
+        return
+    spark = clean.sparkSession
+    target, files = file_system(spark, path.rstrip("/"))
+    if mode != "errorifexists" or files.exists(target):
+        raise ValueError(f"a strict write needs a new folder, not {path}")
+    aside, _ = file_system(spark, f"{path.rstrip('/')}.{uuid.uuid4().hex}")
+    seen, rules = Observation(), [*not_null_rules(), *range_rules()]
+    counted = by_year.observe(seen, *[F.count_if(~passes(rule)).alias(str(i)) for i, rule in enumerate(rules)])
+    try:
+        arranged(counted, "order_year").write.partitionBy("order_year").parquet(aside.toString())
+        broken = {rule.name: seen.get[str(i)] for i, rule in enumerate(rules) if seen.get[str(i)]}
+        if broken:
+            raise ValueError(f"write refused, {path} is not there: {broken}")
+        if not files.rename(aside, target):
+            raise OSError(f"{aside} can't be renamed to {path}")
+    except BaseException:
+        files.delete(aside, True)
+        raise
 
 
 def write_rejected(rejected: DataFrame, path: str, mode: str = "errorifexists") -> None:
