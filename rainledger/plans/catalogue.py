@@ -29,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SLICE = (date(1996, 10, 1), date(2000, 11, 30))
 YEAR = 1998
+LOOKED_UP = {"order_id": "O-7", "customer_id": "C-7", "product_id": "P-7"}
 HIGH_SALES = 100000
 PLACE = ("row_id", "order_date", "city", "state", "region")
 
@@ -123,6 +124,35 @@ def loaded_rejects(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def find_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """One order, one customer and one product, looked up in the stored table."""
+    path = new_folder(spark, "sales_weather_clean")
+    writers.write_clean(clean(spark, sf), path)
+    stored = writers.read_clean(spark, path)
+    found = [
+        writers.find_lines(stored, **{column: value}).withColumn("looked_up", F.lit(column))
+        for column, value in LOOKED_UP.items()
+    ]
+    return reduce(DataFrame.unionAll, found)
+
+
+def bucketed_sales_weather(spark: SparkSession, sf: str) -> DataFrame:
+    """``sales_weather_joined`` on lines that are stored by the weather's keys."""
+    path = new_folder(spark, "bucketed_lines")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = writers.write_bucketed(sliced(spark, sf), path.rsplit("/", 1)[-1].replace("-", "_"), path, buckets)
+    return enrich.sales_weather_joined(lines, **source.weather_tables(spark, sf))
+
+
+def clean_catalog_view(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored clean table through a view of the catalog, read by another session."""
+    path = new_folder(spark, "sales_weather_clean")
+    writers.write_clean(clean(spark, sf), path)
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    writers.clean_view(spark, path, name)
+    return spark.newSession().table(name)
+
+
 def check_not_null(spark: SparkSession, sf: str) -> DataFrame:
     # The test data lacks no required value; two optional columns give rejects to count.
     columns = (*schemas.REQUIRED, "ship_date", "discount")
@@ -224,6 +254,9 @@ QUERIES: dict[str, Query] = {
     "sample_rows": lambda s, d: final_.sample_rows(final(s, d, products=False)),
     "write_clean": write_clean,
     "insert_clean": insert_clean,
+    "find_lines": find_lines,
+    "bucketed_sales_weather": bucketed_sales_weather,
+    "clean_catalog_view": clean_catalog_view,
     "load_outcomes": load_outcomes,
     "loaded_rejects": loaded_rejects,
     "orders_view": view,

@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from rainledger.operators.quality import Rule, not_null_rules, passes, range_rules, reject_reason
 from rainledger.shared import file_system
 from rainledger.sources.schemas import CLEAN_COLUMNS
-from rainledger.sources.writers import CLEAN, arranged
+from rainledger.sources.writers import CLEAN, LOOKUP_OPTIONS, arranged
 
 KEY = "row_id"
 _MANIFESTS = "_manifests"
@@ -172,7 +172,7 @@ def _stage(lines: DataFrame, rules: Sequence[Rule], folder: str) -> dict[str, in
         *[F.count_if(F.col(b)).alias(b) for b in broken],
     )
     rows = counted.drop(*broken)
-    arranged(rows, "outcome", "order_year").write.partitionBy("outcome", "order_year").parquet(folder)
+    arranged(rows, "outcome", "order_year").write.options(**LOOKUP_OPTIONS).partitionBy("outcome", "order_year").parquet(folder)
     found = seen.get
     named = {rule.name: found[b] for rule, b in zip(rules, broken, strict=True) if found[b]}
     return {"read": found["read"], "accepted": found["accepted"], "rejected": found["rejected"], **named}
@@ -214,7 +214,7 @@ def insert(lines: DataFrame, path: str, rules: Sequence[Rule] | None = None, str
             grown = _years(spark, f"{load}/fresh") if new else {}
             if grown:
                 merged = _lines(spark, [*grown.values(), *[years[year] for year in grown]])
-                arranged(merged, "order_year").write.partitionBy("order_year").parquet(f"{load}/merged")
+                arranged(merged, "order_year").write.options(**LOOKUP_OPTIONS).partitionBy("order_year").parquet(f"{load}/merged")
                 published |= _years(spark, f"{load}/merged")
             for folder in [f"{load}/fresh", *touched.values()]:
                 _delete(spark, folder)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,14 @@ from rainledger.operators.quality import not_null_rules, passes, range_rules
 from rainledger.shared import file_system
 from rainledger.sources.schemas import CLEAN_COLUMNS, ORDERS_TYPED, READING
 
+#: Columns that lines are looked up by; their values are spread over all row groups of the layout.
+LOOKUP_COLUMNS = ("order_id", "customer_id", "product_id", "city")
+#: A Bloom filter per row group and column, as large as its values need; a dictionary serves where there are few values.
+LOOKUP_OPTIONS = {
+    "parquet.bloom.filter.adaptive.enabled": "true",
+    **{f"parquet.bloom.filter.enabled#{name}": "true" for name in LOOKUP_COLUMNS},
+}
+
 _TYPED = {field.name: field.dataType for field in ORDERS_TYPED}
 CLEAN = StructType(
     [
@@ -44,7 +54,7 @@ def write_clean(clean: DataFrame, path: str, mode: str = "errorifexists", strict
     """
     by_year = clean.select(*CLEAN_COLUMNS).withColumn("order_year", F.year("order_date"))
     if not strict:
-        arranged(by_year, "order_year").write.mode(mode).partitionBy("order_year").parquet(path)
+        arranged(by_year, "order_year").write.options(**LOOKUP_OPTIONS).mode(mode).partitionBy("order_year").parquet(path)
         return
     spark = clean.sparkSession
     target, files = file_system(spark, path.rstrip("/"))
@@ -54,7 +64,7 @@ def write_clean(clean: DataFrame, path: str, mode: str = "errorifexists", strict
     seen, rules = Observation(), [*not_null_rules(), *range_rules()]
     counted = by_year.observe(seen, *[F.count_if(~passes(rule)).alias(str(i)) for i, rule in enumerate(rules)])
     try:
-        arranged(counted, "order_year").write.partitionBy("order_year").parquet(aside.toString())
+        arranged(counted, "order_year").write.options(**LOOKUP_OPTIONS).partitionBy("order_year").parquet(aside.toString())
         broken = {rule.name: seen.get[str(i)] for i, rule in enumerate(rules) if seen.get[str(i)]}
         if broken:
             raise ValueError(f"write refused, {path} is not there: {broken}")
@@ -83,3 +93,40 @@ def read_clean(
     if last is not None:
         clean = clean.filter((F.col("order_year") <= last.year) & (F.col("order_date") <= F.lit(last)))
     return clean
+
+
+def find_lines(clean: DataFrame, **values: str) -> DataFrame:
+    """Lines with the given order_id, customer_id, product_id or city.
+
+    The sort by weather and region puts no order near each other in the files; the filters written with each row group
+    tell which of them can hold the value, and the others are not read.
+    """
+    unknown = set(values) - set(LOOKUP_COLUMNS)
+    if unknown:
+        raise ValueError(f"no lookup by {', '.join(sorted(unknown))}")
+    return reduce(lambda found, item: found.filter(F.col(item[0]) == F.lit(item[1])), sorted(values.items()), clean)
+
+
+def write_bucketed(
+    lines: DataFrame, table: str, path: str, buckets: int, keys: Sequence[str] = ("order_date", "city")
+) -> DataFrame:
+    """Lines stored by the hash of the weather's keys, as a catalog table over ``path``, read back.
+
+    A join on these keys to a lookup that is too large to broadcast then shuffles the lookup alone. The rebalance hint
+    gives a heavy bucket several files and several writing tasks; but one task joins it, so lines of which a few days and
+    cities hold a large share are better joined from ``write_clean``'s layout, where adaptive execution splits them.
+    """
+    spread = lines.hint("rebalance", buckets, *keys)
+    spread.write.format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return lines.sparkSession.table(table)
+
+
+def clean_view(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A view in the catalog over the stored clean table, for every session that shares the catalog.
+
+    It lasts as long as the catalog does: for one application with Spark's own, beyond it with a metastore. Years that are
+    added to the folder later are seen as well.
+    """
+    columns = ", ".join(f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in CLEAN)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {columns} FROM parquet.`{path}`")
+    return spark.table(name)
