@@ -32,7 +32,7 @@ EQUIVALENT = (
     ("wilful", "willful"),
 )
 
-# Notices of known licences; the SQL holds these alone.
+# Notices of known licences.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\")."),
@@ -51,10 +51,6 @@ KNOWN = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
-#: For the SQL, which tells copyright lines by these alone.
-_COPYRIGHT_STARTS = ("copyright ", "c copyright ", "portions copyright ", "all rights reserved ")
-
-
 _SIGN = r"(?:\([cC]\)|©|&copy;)"
 _YEAR = r"(?:\d{4}|[\[<{(]\s*(?i:yyyy|year|name|copyright|owner|fullname))"
 #: Told on the raw line: word or sign, then a year or a name. Lines of a licence's body that begin with the word stay.
@@ -158,34 +154,56 @@ def op3_licence_scan(spark, sf_dir):
     return scan(documents(spark, sf_dir), known_digests(spark))
 
 
-def _sql_line(line: str) -> str:
-    text = rf"replace(' ' || regexp_replace(lower({line}), '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ', '  ', ' ')"
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: The same rule in two steps: DuckDB's expressions have no look-ahead.
+_SQL_START = r"^[^\p{L}\p{N}©(&]*(?i:portions\s+)?"
+_SQL_COPYRIGHT = (
+    rf"{_SQL_START}(?:{_SIGN}[\s,:-]*{_YEAR}|©\s*\p{{Lu}}"
+    rf"|(?:{_SIGN}\s*)?(?i:copyright)[\s,:-]*(?:{_SIGN}|{_YEAR}|(?i:by\s))|(?i:all rights reserved)(?:[^\p{{L}}\p{{N}}]|$))"
+)
+_SQL_NAMED = rf"{_SQL_START}(?:{_SIGN}\s*)?Copyright:?\s+\p{{Lu}}"
+_SQL_BODY = rf"{_SQL_START}(?:{_SIGN}\s*)?Copyright:?\s+(?i:holder|owner|notice|law|licen[cs]e|act|statement|and|or|in)(?i:s?)\b"
+
+
+def _sql_spelling(text: str) -> str:
+    text = f"' ' || {text} || ' '"
     for given, one in EQUIVALENT:
         text = f"replace({text}, ' {given} ', ' {one} ')"
     return f"trim({text})"
 
 
 def _sql_lines(source: str, key: str, text: str) -> str:
-    starts = " OR ".join(f"starts_with(line || ' ', '{s}')" for s in _COPYRIGHT_STARTS)
+    """Canonical lines of each text, without copyright lines and empty ones."""
+    copyright_line = " OR ".join(
+        [
+            f"regexp_matches(raw, {_quoted(_SQL_COPYRIGHT)})",
+            f"(regexp_matches(raw, {_quoted(_SQL_NAMED)}) AND NOT regexp_matches(raw, {_quoted(_SQL_BODY)}))",
+        ]
+    )
     return f"""
-    SELECT {key}, coalesce(list(line ORDER BY i) FILTER (line <> '' AND NOT ({starts})), []) AS lines
-    FROM (SELECT {key}, i, {_sql_line('raw')} AS line
+    SELECT {key}, coalesce(list(line ORDER BY i) FILTER (line <> ''), []) AS lines
+    FROM (SELECT {key}, i, CASE WHEN {copyright_line} THEN '' ELSE trim(regexp_replace(lower(raw), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) END AS line
           FROM (SELECT {key}, unnest(string_split(coalesce({text}, ''), chr(10))) AS raw,
                        unnest(generate_series(1, len(string_split(coalesce({text}, ''), chr(10))))) AS i FROM {source}))
     GROUP BY {key}"""
 
 
-_KNOWN_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(KNOWN))
+_KNOWN_ROWS = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate((*KNOWN, *full_texts())))
 ORACLE = f"""
 WITH given(place, licence, known_text) AS (VALUES {_KNOWN_ROWS}),
 known_lines AS ({_sql_lines('given', 'place, licence', 'known_text')}),
 known AS (
-    SELECT sha256(array_to_string(lines, ' ')) AS digest, arg_min(licence, place) AS licence FROM known_lines GROUP BY 1
+    SELECT sha256({_sql_spelling("array_to_string(lines, ' ')")}) AS digest, arg_min(licence, place) AS licence FROM known_lines GROUP BY 1
 ), texts AS ({_sql_lines('documents', 'doc_id', 'text')}),
 stated AS (
     SELECT doc_id, string_agg(DISTINCT k.licence, ',' ORDER BY k.licence) AS line_licences
-    FROM (SELECT doc_id, unnest(lines) AS line FROM texts) JOIN known k ON sha256(line) = k.digest GROUP BY doc_id
+    FROM (SELECT doc_id, unnest(lines) AS line FROM texts) JOIN known k ON sha256({_sql_spelling('line')}) = k.digest GROUP BY doc_id
+), digests AS (
+    SELECT doc_id, sha256({_sql_spelling("array_to_string(lines, ' ')")}) AS text_digest FROM texts
 )
-SELECT t.doc_id, sha256(array_to_string(t.lines, ' ')) AS text_digest, k.licence, coalesce(s.line_licences, '') AS line_licences
-FROM texts t LEFT JOIN known k ON k.digest = sha256(array_to_string(t.lines, ' ')) LEFT JOIN stated s USING (doc_id)
+SELECT t.doc_id, t.text_digest, k.licence, coalesce(s.line_licences, '') AS line_licences
+FROM digests t LEFT JOIN known k ON k.digest = t.text_digest LEFT JOIN stated s USING (doc_id)
 """

@@ -61,3 +61,24 @@ def test_whole_licence_files(spark):
             rows.append((len(rows), "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))))
     got = {r["doc_id"]: r["licence"] for r in scan(frame(spark, rows), known_digests(spark)).collect()}
     assert got == want and {"Apache-2.0", "GPL-2.0", "GPL-3.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"} <= set(want.values())
+
+
+def test_sql_on_documents_that_are_licences(spark):
+    """The tables hold no whole licence, so the SQL is compared on files too: whole, wrapped, with titles and signs."""
+    import duckdb
+
+    from checks.compare import differences
+    from rainledger.llm.licence_scan import ORACLE, KNOWN
+
+    folder = Path(licence_scan.__file__).parent / "licences"
+    files = [f.read_text() for f in sorted(folder.glob("*.txt"))]
+    heads = ["", "(c) 2021 X\n", "© Example\n", "MIT License\n\n", "Copyright Example Ltd\n", "Copyright Holder's note\n", "* Copyright: 2020 Y\n"]
+    texts = [head + text for head in heads for text in files] + [text.replace("licence", "license") for _, text in KNOWN]
+    texts += [" ".join(f.split()) for f in files] + ["", "Copyright notice\nAll rights reserved.", "all rights reserveds\nx", "Portions copyright by Z\ny"]
+    rows = list(enumerate(texts))
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = scan(frame(spark, rows), known_digests(spark))
+    assert found.where("licence IS NOT NULL").count() >= 4 * len(files)
+    assert differences(duck, found, ORACLE) is None
