@@ -9,14 +9,18 @@ from rainledger.llm.tables import keep
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Tie each node's larger (or smaller) neighbours to the smallest node around it."""
+    """Tie each node's larger (or smaller) neighbours to the smallest node around it.
+
+    The smallest nodes are stored before they are joined: both sides are then bare shuffles, and adaptive execution deals
+    the neighbours of the centre of a large star over many tasks.
+    """
     if large:
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        small = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+        small = keep(around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")), "star-least")
         tied = around.join(small, "a").where(F.col("b") > F.col("a"))
         return tied.select(F.col("least").alias("a"), "b").where("a < b").distinct()
     down = edges.select(F.col("b").alias("node"), F.col("a").alias("lower"))
-    small = down.groupBy("node").agg(F.min("lower").alias("least"))
+    small = keep(down.groupBy("node").agg(F.min("lower").alias("least")), "star-least")
     tied = down.join(small, "node").select(F.col("least").alias("a"), F.col("lower").alias("b"))
     own = small.select(F.col("least").alias("a"), F.col("node").alias("b"))
     return tied.unionByName(own).where("a < b").distinct()

@@ -211,7 +211,8 @@ def _stars(buckets: DataFrame, percent: int) -> DataFrame:
 def _open_buckets(buckets: DataFrame, component: DataFrame) -> DataFrame:
     """key, node and component of the buckets that the stars have not settled.
 
-    A bucket of two is settled, and so is one whose nodes are all in one component.
+    A bucket of two is settled, and so is one whose nodes are all in one component. The open keys are stored before the
+    join, so that adaptive execution can split a hot bucket.
     """
     placed = (
         buckets.where("members > 2")
@@ -219,7 +220,7 @@ def _open_buckets(buckets: DataFrame, component: DataFrame) -> DataFrame:
         .withColumn("component", F.coalesce("component", "node"))
     )
     spread = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    still_open = spread.where("least < most").select("key")
+    still_open = keep(spread.where("least < most").select("key"), "open-keys")
     return placed.select("key", "node", "component").join(still_open, "key", "left_semi")
 
 
