@@ -14,17 +14,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainledger.llm.tables import documents, keep
+from rainledger.llm.words import forget
 
 LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Parts of words, and ids of them, that a Python worker remembers after a slice; beyond that it starts anew.
-CACHE_WORDS = 600_000
-CACHE_IDS = 4_000_000
+CACHE_WORDS = 400_000
+CACHE_IDS = 2_500_000
 #: Longer parts are forgotten after their slice.
 KNOWN_BYTES = 64
 #: Bytes of text that are split into words at once.
-SLICE_BYTES = 8 * 1024 * 1024
+SLICE_BYTES = 4 * 1024 * 1024
 
 _ENCODERS: dict = {}
 #: ASCII marks but the apostrophe, which the tokenizer can join to letters.
@@ -170,7 +171,8 @@ def _path(tokenizer: str) -> str:
 
 
 def encoder(tokenizer: str) -> WordIds:
-    """The worker's one encoder of a tokenizer, with the parts it remembers."""
+    """The worker's one encoder of a tokenizer, with the parts it remembers; word hashes of earlier stages are freed."""
+    forget()
     if tokenizer not in _ENCODERS:
         _ENCODERS[tokenizer] = WordIds(_path(tokenizer))
     return _ENCODERS[tokenizer]

@@ -26,6 +26,11 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def forget() -> None:
+    """Free the remembered hashes, for a worker that goes on to other work."""
+    _HASHES.clear()
+
+
 def utf8_rows(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; NULL as empty."""
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
