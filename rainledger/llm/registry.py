@@ -41,6 +41,5 @@ ORACLE_SQL = {
     "op7_hyperminhash": hyperminhash.ORACLE,
     "op9_line_dedup": chunk_dedup.ORACLE,
     "op10_poisson_mix": poisson_mix.ORACLE,
-    "op11_merkle_manifest": merkle_manifest.ORACLE,
     "op13_cover_codes": cover_codes.ORACLE,
 }
