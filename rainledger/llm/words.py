@@ -7,8 +7,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Words whose hashes a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 1_000_000
+#: Words whose hashes a Python worker remembers; beyond that it starts anew. Larger tables are slower: they miss the processor's caches.
+CACHE_WORDS = 50_000
+#: Longer words are hashed each time: text without blanks is one long word.
+KNOWN_BYTES = 64
 
 #: Upper to lower for A-Z alone.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -17,9 +19,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KNOWN_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 

@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from edge_rows import EDGES, frame
-from rainledger.llm import hyperminhash
+from rainledger.llm import hyperminhash, words
 from rainledger.llm.hyperminhash import BUCKETS, estimate, near_duplicates, registers
 from rainledger.llm.words import shingles
 
@@ -103,3 +104,12 @@ def test_shingles_are_sets():
     assert len(shingles(b"a b c d e a b c d e", 4)) == 5
     assert len(shingles(b"A b", 4)) == 1 and (shingles(b"A b", 4) == shingles(b" a  B\n", 4)).all()
     assert shingles(b"a b", 4) != shingles(b"a c", 4)
+
+
+def test_remembered_words_stay_few_and_short(monkeypatch):
+    monkeypatch.setattr(words, "CACHE_WORDS", 3)
+    words.forget()
+    text = b"a bb " + b"x" * 100 + b" ccc A dddd bb " + b"x" * 100
+    expected = [xxhash.xxh3_64_intdigest(w) for w in text.lower().split()]
+    assert words.word_hashes(text).tolist() == expected
+    assert len(words._HASHES) <= 3 and max(map(len, words._HASHES)) <= words.KNOWN_BYTES
