@@ -25,6 +25,11 @@ def rounded_mean(column: str | Column, digits: int) -> Column:
     return F.round(F.try_divide(_exact(F.sum(column)), count), digits)
 
 
+def merged_mean(sums: str, counts: str, digits: int) -> Column:
+    """``rounded_mean`` of values of which partial sums and counts are known."""
+    return F.round(F.try_divide(_exact(F.sum(sums)), F.sum(counts).cast("decimal(20,0)")), digits)
+
+
 def margin_percent() -> Column:
     """Profit per sales in percent, NULL when sales add up to zero."""
     return F.round(F.try_divide(_exact(F.sum("profit")), _exact(F.sum("sales"))) * 100, 2)

@@ -23,13 +23,14 @@ from rainledger.plans import final_reports as final_
 from rainledger.plans import weather_reports as weather_
 from rainledger.shared import new_folder
 from rainledger.sources import driver_tables as source
-from rainledger.sources import clean_table, readers, schemas, writers
+from rainledger.sources import clean_table, month_state, readers, schemas, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SLICE = (date(1996, 10, 1), date(2000, 11, 30))
 YEAR = 1998
 LOOKED_UP = {"order_id": "O-7", "customer_id": "C-7", "product_id": "P-7"}
+STATE_UNTIL = date(1999, 12, 15)
 HIGH_SALES = 100000
 PLACE = ("row_id", "order_date", "city", "state", "region")
 
@@ -153,6 +154,15 @@ def clean_catalog_view(spark: SparkSession, sf: str) -> DataFrame:
     return spark.newSession().table(name)
 
 
+def month_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The state of the lines' months, put together from a first load, an appended rest, and one month done again."""
+    path = new_folder(spark, "month_state")
+    lines = sliced(spark, sf, products=False)
+    for first, last in ((SLICE[0], STATE_UNTIL), (STATE_UNTIL, SLICE[1]), (STATE_UNTIL, STATE_UNTIL)):
+        month_state.refresh(lines, path, first, last)
+    return month_state.read(spark, path)
+
+
 def check_not_null(spark: SparkSession, sf: str) -> DataFrame:
     # The test data lacks no required value; two optional columns give rejects to count.
     columns = (*schemas.REQUIRED, "ship_date", "discount")
@@ -343,6 +353,8 @@ QUERIES: dict[str, Query] = {
     "weather_impact": lambda s, d: final_.weather_impact(
         final(s, d, "description", products=False)
     ),
+    "monthly_trend_from_state": lambda s, d: month_state.monthly_trend(month_states(s, d)),
+    "segment_performance_from_state": lambda s, d: month_state.segment_performance(month_states(s, d)),
     "monthly_trend": lambda s, d: final_.monthly_trend(sliced(s, d, products=False)),
     "sales_by_temp_range": lambda s, d: final_.sales_by_temp_range(
         final(s, d, "temperature", products=False), temp_unit="kelvin"
