@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,14 +13,18 @@ from pyspark.sql import functions as F
 
 from rainledger.llm.tables import keep
 
-#: Vectors per shard (its graph is built in one task), edges per vector, length of the search list.
-SHARD_ROWS = 4096
+#: Memory of a shard, whose graph one task builds; edges per vector; lengths of the search list.
+SHARD_BYTES = 16 << 20
 DEGREE = 32
 BEAM = 64
 SEARCH_BEAM = 128
 #: Relaxation of the pruning rule in the first and the second pass.
 RELAXED = (1.0, 1.2)
+#: Queries that walk in step, and queries that a copy of a graph meets: about as many bytes as the graph has.
 QUERY_BLOCK = 256
+QUERY_GROUP = 16_384
+#: More tasks than shards or groups of queries, so that few share one; no more than this, whatever their number.
+_SPREAD, _MOST_TASKS = 4, 20_000
 _BUILD_BLOCK = 512
 #: Distances that one pruning step holds at a time.
 _PRUNE_CELLS = 8_000_000
@@ -28,70 +33,86 @@ _SAME_DIRECTION = 2.0**-18
 _ROUNDING = 1e-6
 
 
+def _entries(near: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Squared distance, node and an open mark in one number that sorts by distance; the bits of a float that isn't negative sort as it does."""
+    bits = np.maximum(near, 0).astype(np.float32).view(np.int32).astype(np.int64)
+    return bits << 32 | nodes << 1
+
+
 def _beam_search(
     vectors: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and squared distances of the ``beam`` nearest seen of each query, nearest first; -1 where there are fewer.
 
-    All queries of a block walk in step: each expands its nearest node that it hasn't expanded yet.
+    All queries of a block walk in step: each expands its nearest node that it hasn't expanded yet. Distances are
+    computed only to nodes that a query meets for the first time.
     """
-    count, rows = len(queries), np.arange(len(queries))
-    seen = np.zeros((count, len(vectors) + 1), bool)
-    seen[:, -1] = True
-    ids = np.full((count, beam), -1)
-    near = np.full((count, beam), np.inf, np.float32)
-    opened = np.ones((count, beam), bool)
-    ids[:, 0], opened[:, 0], seen[:, start] = start, False, True
-    near[:, 0] = ((queries - vectors[start]) ** 2).sum(axis=1)
-    active = rows
+    nobody = np.int64(np.iinfo(np.int64).max)  # expanded already, and behind every node
+    count, none = len(queries), len(vectors)
+    seen = np.zeros((count, none + 1), bool)
+    seen[:, none] = seen[:, start] = True
+    squares, own = np.einsum("nd,nd->n", vectors, vectors), np.einsum("qd,qd->q", queries, queries)
+    lists = np.full((count, beam), nobody)
+    lists[:, 0] = _entries(squares[start] + own - 2 * (queries @ vectors[start]), np.int64(start))
+    active = np.arange(count)
     while len(active):
-        place = np.argmax(~opened[active], axis=1)
-        going = ~opened[active, place]
+        unopened = lists[active] & 1 == 0
+        place = np.argmax(unopened, axis=1)
+        going = unopened[np.arange(len(active)), place]
         active, place = active[going], place[going]
         if not len(active):
             break
-        opened[active, place] = True
-        nodes = edges[ids[active, place]]
-        fresh = ~seen[active[:, None], nodes]
-        seen[active[:, None], nodes] = True
-        gap = vectors[np.minimum(nodes, len(vectors) - 1)] - queries[active][:, None, :]
-        far = np.where(fresh, np.einsum("qed,qed->qe", gap, gap), np.inf).astype(np.float32)
-        all_ids = np.concatenate([ids[active], np.where(fresh, nodes, -1)], axis=1)
-        all_near = np.concatenate([near[active], far], axis=1)
-        all_open = np.concatenate([opened[active], ~fresh], axis=1)
-        order = np.argsort(all_near, axis=1, kind="stable")[:, :beam]
-        ids[active] = np.take_along_axis(all_ids, order, 1)
-        near[active] = np.take_along_axis(all_near, order, 1)
-        opened[active] = np.take_along_axis(all_open, order, 1)
+        nodes = edges[(lists[active, place] & 0xFFFFFFFF) >> 1]
+        lists[active, place] |= 1
+        row, slot = np.nonzero(~seen[active[:, None], nodes])
+        met, asking = nodes[row, slot], active[row]
+        seen[asking, met] = True
+        far = squares[met] + own[asking] - 2 * np.einsum("nd,nd->n", vectors[met], queries[asking])
+        wider = np.full((len(active), beam + nodes.shape[1]), nobody)
+        wider[:, :beam] = lists[active]
+        wider[row, beam + slot] = _entries(far, met.astype(np.int64))
+        wider.sort(axis=1)
+        lists[active] = wider[:, :beam]
+    found = lists != nobody
+    ids = np.where(found, (lists & 0xFFFFFFFF) >> 1, -1)
+    near = np.where(found, (lists >> 32).astype(np.int32).view(np.float32), np.inf).astype(np.float32)
     return ids, near
 
 
+def _different(points: np.ndarray, candidates: np.ndarray, none: int) -> np.ndarray:
+    """Each candidate of a point once, without the point itself."""
+    candidates = np.sort(np.where((candidates < 0) | (candidates == points[:, None]), none, candidates), axis=1)
+    candidates[:, 1:][candidates[:, 1:] == candidates[:, :-1]] = none
+    return candidates
+
+
 def _prune(vectors: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree: int, relaxed: float) -> np.ndarray:
     """Robust pruning: take the nearest candidate, drop those much nearer to it than to the point, and so on.
 
     ``candidates`` has -1 for none; the result has len(vectors) for none.
     """
     none = len(vectors)
-    candidates = np.sort(np.where((candidates < 0) | (candidates == points[:, None]), none, candidates), axis=1)
-    candidates[:, 1:][candidates[:, 1:] == candidates[:, :-1]] = none
+    candidates = _different(points, candidates, none)
     padded = np.vstack([vectors, np.zeros((1, vectors.shape[1]), vectors.dtype)])
     there = padded[candidates]
-    gap = there - vectors[points][:, None, :]
-    to_point = np.einsum("pcd,pcd->pc", gap, gap)
-    squares = np.einsum("pcd,pcd->pc", there, there)
-    between = squares[:, :, None] + squares[:, None, :] - 2 * (there @ there.transpose(0, 2, 1))
-    between[between < _ROUNDING] = 0
-    alive = candidates != none
-    rows = np.arange(len(points))
+    products = there @ there.transpose(0, 2, 1)
+    squares = np.einsum("pcc->pc", products).copy()
+    mine = vectors[points]
+    to_point = squares + np.einsum("pd,pd->p", mine, mine)[:, None] - 2 * np.einsum("pcd,pd->pc", there, mine)
+    to_point = np.where(candidates != none, np.maximum(to_point, 0), np.inf)
     out = np.full((len(points), degree), none)
+    rows = np.arange(len(points))
     for k in range(degree):
-        best = np.argmin(np.where(alive, to_point, np.inf), axis=1)
-        any_left = alive[rows, best]
-        if not any_left.any():
+        best = np.argmin(to_point[rows], axis=1)
+        left = np.isfinite(to_point[rows, best])
+        rows, best = rows[left], best[left]
+        if not len(rows):
             break
-        out[any_left, k] = candidates[rows, best][any_left]
-        alive &= relaxed**2 * between[rows, best] > to_point
-        alive[rows, best] = False
+        out[rows, k] = candidates[rows, best]
+        between = squares[rows] + squares[rows, best][:, None] - 2 * products[rows, best]
+        between[between < _ROUNDING] = 0
+        to_point[rows] = np.where(relaxed**2 * between > to_point[rows], to_point[rows], np.inf)
+        to_point[rows, best] = np.inf
     return out
 
 
@@ -135,10 +156,20 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, see
                     back[row, : counts[head]] = source[ends[head] - counts[head] : ends[head]]
                 nodes = heads[part]
                 old = np.where(edges[nodes] == none, -1, edges[nodes])
-                edges[nodes] = _prune(vectors, nodes, np.concatenate([old, back], axis=1), degree, relaxed)
+                all_of = np.sort(_different(nodes, np.concatenate([old, back], axis=1), none), axis=1)
+                full = all_of[:, degree] != none
+                edges[nodes[~full]] = all_of[~full, :degree]
+                edges[nodes[full]] = _prune(vectors, nodes[full], all_of[full], degree, relaxed)
     return edges, start
 
 
+def shard_count(classes: DataFrame, shard_bytes: int) -> int:
+    """Shards of about that many bytes: a vector in double and in single precision, and its edges."""
+    each = F.size("embedding") * 12 + 8 * DEGREE
+    total = classes.agg(F.coalesce(F.sum(each), F.lit(0)).alias("bytes")).first()["bytes"]
+    return max(1, -(-total // shard_bytes))
+
+
 def usable(vector: Column) -> Column:
     """Vectors that have a direction: not NULL, no NULL or non-finite component, not zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
@@ -197,7 +228,8 @@ def graph_rows(classes: DataFrame, shards: int) -> DataFrame:
         )
 
     schema = "dims int, shard int, ids binary, counts binary, members binary, vectors binary, edges binary, start int"
-    return sharded.groupBy("dims", "shard").applyInPandas(build, schema)
+    spread = sharded.repartition(min(_SPREAD * shards, _MOST_TASKS), "dims", "shard")
+    return spread.groupBy("dims", "shard").applyInPandas(build, schema)
 
 
 def _cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -207,58 +239,103 @@ def _cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
+@dataclass
+class Shard:
+    """A graph as a worker holds it: class ``c`` has the vector ``exact[c]`` and ``counts[c]`` of the ids."""
+
+    exact: np.ndarray
+    counts: np.ndarray
+    flat: np.ndarray
+    members: np.ndarray
+    edges: np.ndarray
+    start: int
+
+    @classmethod
+    def of(cls, row: dict) -> Shard:
+        members = np.frombuffer(row["members"], np.int32)
+        return cls(
+            np.frombuffer(row["vectors"]).reshape(-1, row["dims"]),
+            np.frombuffer(row["counts"], np.int32),
+            np.frombuffer(row["ids"], np.int64),
+            members,
+            np.frombuffer(row["edges"], np.int32).reshape(len(members), -1),
+            row["start"],
+        )
+
+    def __post_init__(self) -> None:
+        self.first_id = np.cumsum(self.counts) - self.counts
+        self.first_class = np.cumsum(self.members) - self.members
+        self.unit = _units(self.exact[self.first_class])
+
+    def nearest(self, asking: np.ndarray, asked: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, int, float]]:
+        """Query, vec_id and exact cosine of the ``k`` best that the beam finds, the query itself aside."""
+        found, _ = _beam_search(self.unit, self.edges, self.start, _units(asked), beam)
+        for query, vector, nodes in zip(asking.tolist(), asked, found, strict=True):
+            nodes = nodes[nodes >= 0]
+            of_nodes = np.concatenate([np.arange(self.first_class[n], self.first_class[n] + self.members[n]) for n in nodes])
+            scores = _cosines(vector, self.exact[of_nodes])
+            if len(scores) > k + 1:  # one of the best k + 1 can be the query itself; equal scores stay
+                near = scores >= np.partition(scores, -k - 1)[-k - 1]
+                of_nodes, scores = of_nodes[near], scores[near]
+            hits = [
+                (-score, int(v))
+                for c, score in zip(of_nodes, scores.tolist(), strict=True)
+                for v in self.flat[self.first_id[c] : self.first_id[c] + self.counts[c]]
+                if v != query
+            ]
+            yield from ((query, v, -score) for score, v in sorted(hits)[:k])
+
+
 def search(graphs: DataFrame, queries: DataFrame, shards: int, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
     """The ``k`` nearest found of each query in each shard, by exact cosines of what the beam has found.
 
-    Queries travel in blocks: each block meets each shard once, whatever the number of either.
+    Rows of a shard and a group of queries are sorted with the graph in front: a worker decodes it once and answers
+    the queries as they stream by, so neither needs the other in memory whole, nor travels once per pair.
     """
-    block = F.pmod(F.xxhash64("query_id"), F.greatest(F.ceil(F.lit(max(queries.count(), 1)) / QUERY_BLOCK), F.lit(1))).cast("int")
-    blocks = (
+    groups = max(1, -(-queries.count() // QUERY_GROUP))
+    asking = (
         queries.withColumn("dims", F.size("embedding"))
-        .groupBy("dims", block.alias("block"))
-        .agg(F.collect_list(F.struct("query_id", "embedding")).alias("queries"))
+        .withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     )
-    met = graphs.join(blocks, ["dims", "shard"])
+    copies = graphs.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    place = ["dims", "shard", "group"]
+    met = (
+        copies.unionByName(asking, allowMissingColumns=True)
+        .repartition(min(_SPREAD * shards * groups, _MOST_TASKS), *place)
+        .sortWithinPartitions(*place, F.col("start").asc_nulls_last())
+        .select(*graphs.columns, "group", "query_id", "embedding")
+    )
+    graph_columns = graphs.columns
 
-    def beam_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, at = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                exact = np.frombuffer(row["vectors"]).reshape(-1, row["dims"])
-                members = np.frombuffer(row["members"], np.int32)
-                first_class = np.cumsum(members) - members
-                unit = _units(exact[first_class])
-                edges = np.frombuffer(row["edges"], np.int32).reshape(len(unit), -1)
-                counts, flat = np.frombuffer(row["counts"], np.int32), np.frombuffer(row["ids"], np.int64)
-                first = np.cumsum(counts) - counts
-                asked = np.array([q["embedding"] for q in row["queries"]], np.float64)
-                units = _units(asked)
-                found, _ = _beam_search(unit, edges, row["start"], units, beam)
-                out = []
-                for query, vector, nodes in zip(row["queries"], asked, found, strict=True):
-                    nodes = nodes[nodes >= 0]
-                    of_nodes = np.concatenate([np.arange(first_class[n], first_class[n] + members[n]) for n in nodes])
-                    scores = _cosines(vector, exact[of_nodes])
-                    if len(scores) > k + 1:  # one of the best k + 1 can be the query itself; equal scores stay
-                        near = scores >= np.partition(scores, -k - 1)[-k - 1]
-                        of_nodes, scores = of_nodes[near], scores[near]
-                    hits = [
-                        (-score, int(v))
-                        for c, score in zip(of_nodes, scores, strict=True)
-                        for v in flat[first[c] : first[c] + counts[c]]
-                        if v != query["query_id"]
-                    ]
-                    out += [(query["query_id"], v, -score) for score, v in sorted(hits)[:k]]
-                columns = list(zip(*out, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    return met.mapInArrow(beam_rows, "query_id bigint, vec_id bigint, score double")
-
-
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
+            where = np.stack([batch.column(name).to_numpy() for name in place], axis=1)
+            is_graph = batch.column("start").is_valid().to_numpy(zero_copy_only=False)
+            new = np.append(np.any(where[1:] != where[:-1], axis=1) | is_graph[1:], True).nonzero()[0] + 1
+            low = 0
+            for high in new.tolist():
+                if is_graph[low]:
+                    row = batch.select(graph_columns).slice(low, 1).to_pylist()[0]
+                    shard, at, low = Shard.of(row), tuple(where[low]), low + 1
+                for first in range(low, high, QUERY_BLOCK):
+                    if at != tuple(where[first]):
+                        break  # no vector of that length in this shard
+                    count = min(QUERY_BLOCK, high - first)
+                    asked = batch.column("embedding").slice(first, count).flatten().to_numpy().reshape(count, -1)
+                    out = list(shard.nearest(batch.column("query_id").slice(first, count).to_numpy(), asked, k, beam))
+                    columns = list(zip(*out, strict=True)) or [[], [], []]
+                    types = [pa.int64(), pa.int64(), pa.float64()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["query_id", "vec_id", "score"]
+                    )
+                low = high
+
+    return met.mapInArrow(answers, "query_id bigint, vec_id bigint, score double")
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest rows found for each row that ``queries`` marks.
 
     ``vectors`` has vec_id and embedding; the measure is the cosine of the original vectors in double precision.
@@ -277,7 +354,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, shard_rows: int = S
         "vectors",
     )
     classes = keep(vector_classes(rows.select("vec_id", "embedding"), k + 1), "vector-classes")
-    shards = max(1, -(-classes.count() // shard_rows))
+    shards = shard_count(classes, shard_bytes)
     graphs = keep(graph_rows(classes, shards), "graphs")
     asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), "embedding")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -1,7 +1,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from rainledger.llm.graph_ann import _units, build_graph, direction_nodes, nearest
+from rainledger.llm import graph_ann
+from rainledger.llm.graph_ann import _beam_search, _prune, _units, build_graph, direction_nodes, nearest
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, score string, rank string, shard string"
 
@@ -45,7 +46,7 @@ def compare(got, want):
 def test_recall_on_the_given_vectors(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     pairs = [(r["vec_id"], list(r["embedding"])) for r in vectors.collect()]
-    got = nearest(vectors, F.col("vec_id") % 50 == 0, shard_rows=700).collect()
+    got = nearest(vectors, F.col("vec_id") % 50 == 0, shard_bytes=700 * 1024).collect()
     assert compare(got, brute(pairs, lambda i: i % 50 == 0)) >= 0.95
 
 
@@ -60,10 +61,48 @@ def test_edges(spark):
 def test_a_third_of_all_rows_share_a_vector(spark):
     draw = np.random.RandomState(0)
     vectors = [(i, [1.0, 2.0, 3.0, 4.0] if i % 3 == 0 else draw.normal(size=4).tolist()) for i in range(900)]
-    got = nearest(table(spark, vectors), F.col("vec_id") % 90 == 0, shard_rows=200).collect()
+    got = nearest(table(spark, vectors), F.col("vec_id") % 90 == 0, shard_bytes=200 * 304).collect()
     assert compare(got, brute(vectors, lambda i: i % 90 == 0)) >= 0.98
 
 
+def test_many_groups_of_queries_meet_each_graph(spark, monkeypatch):
+    draw = np.random.RandomState(8)
+    vectors = [(i, draw.normal(size=3 if i % 7 == 0 else 5).tolist()) for i in range(600)]
+    whole = nearest(table(spark, vectors), F.lit(True), shard_bytes=100 * 316).collect()
+    monkeypatch.setattr(graph_ann, "QUERY_GROUP", 50)
+    monkeypatch.setattr(graph_ann, "QUERY_BLOCK", 7)
+    split = nearest(table(spark, vectors), F.lit(True), shard_bytes=100 * 316).collect()
+    assert sorted(split) == sorted(whole)
+    assert compare(split, brute(vectors, lambda i: True)) >= 0.98
+
+
+def test_the_beam_knows_true_distances():
+    draw = np.random.RandomState(9)
+    vectors = draw.normal(size=(400, 6)).astype(np.float32)
+    edges, start = build_graph(vectors, degree=12)
+    queries = draw.normal(size=(30, 6)).astype(np.float32)
+    ids, near = _beam_search(vectors, edges, start, queries, 20)
+    true = ((queries[:, None] - vectors[None]) ** 2).sum(axis=2)
+    assert np.allclose(np.take_along_axis(true, ids, 1), near, atol=1e-4)
+    assert (np.diff(near, axis=1) >= 0).all() and all(len(set(row)) == 20 for row in ids)
+    assert (ids[:, :3] == np.argsort(true, axis=1)[:, :3]).mean() >= 0.95
+
+
+def test_pruning_follows_the_rule():
+    draw = np.random.RandomState(10)
+    vectors = draw.normal(size=(60, 4)).astype(np.float32)
+    candidates = np.array([[j for j in range(60) if j != i][:25] + [i, -1, -1] for i in range(60)])
+    got = _prune(vectors, np.arange(60), candidates, 8, 1.2)
+    far = ((vectors[:, None].astype(float) - vectors[None]) ** 2).sum(axis=2)
+    for i in range(60):
+        left, want = sorted((far[i, j], j) for j in set(candidates[i].tolist()) - {i, -1}), []
+        while left and len(want) < 8:
+            best = left[0][1]
+            want.append(best)
+            left = [(d, j) for d, j in left[1:] if 1.2**2 * far[best, j] > d]
+        assert [x for x in got[i].tolist() if x < 60] == want
+
+
 def test_empty(spark):
     assert nearest(table(spark, [(1, [1.0])]).limit(0), F.lit(True)).collect() == []
 
