@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rainledger.llm.components import connect
 from rainledger.llm.tables import documents, join_groups, join_groups_sized, join_sized, keep
-from rainledger.llm.words import mixed, shingles, utf8_rows
+from rainledger.llm.words import give_back, mixed, shingles, utf8_rows
 
 #: Buckets of a sketch, and the keys that a document gives to the banding.
 BUCKETS = 128
@@ -101,6 +101,7 @@ def sketch_rows(docs: DataFrame, size: int, similarity: float) -> DataFrame:
                     ],
                     names=["doc_id", "n_shingles", "set_digest", "sketch", "keys"],
                 )
+            give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_shingles bigint, set_digest binary, sketch binary, keys array<bigint>"
@@ -173,6 +174,7 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
                     both = len(np.intersect1d(one, other, assume_unique=True))
                     linked.append(100 * both >= percent * (len(one) + len(other) - both))
                 yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            give_back()
 
     kind = pairs.schema["a"].dataType.simpleString()
     return pairs.mapInArrow(check, f"a {kind}, b {kind}")
@@ -187,6 +189,7 @@ def set_rows(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 part = batch.slice(start, 1024)
                 sets = [shingles(text, size).tobytes() for text in utf8_rows(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            give_back()
 
     wanted = join_sized(docs.select("doc_id", "text"), nodes.withColumnRenamed("node", "doc_id"), ["doc_id"], "left_semi", F.lit(48))
     kind = docs.schema["doc_id"].dataType.simpleString()

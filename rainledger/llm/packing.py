@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainledger.llm.tables import documents, keep
-from rainledger.llm.words import forget
+from rainledger.llm.words import forget, give_back
 
 LENGTH = 2048
 END_ID = 1
@@ -130,6 +130,7 @@ class WordIds:
         self.long = []
         if len(self.known) > CACHE_WORDS or len(self.ids) > CACHE_IDS:
             self._forget()
+        give_back()
         return ids, per_text
 
     def encode(self, texts: list[bytes]) -> list[bytes]:

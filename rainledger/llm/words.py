@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,9 +32,21 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+#: The C library's way to return freed memory, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def forget() -> None:
-    """Free the remembered hashes, for a worker that goes on to other work."""
+    """Free the remembered hashes and all unused memory, for a worker that goes on to other work."""
     _HASHES.clear()
+    give_back()
 
 
 def utf8_rows(column: pa.Array) -> list[bytes]:
