@@ -20,12 +20,12 @@ LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Parts of words, and ids of them, that a Python worker remembers after a slice; beyond that it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 CACHE_IDS = 4_000_000
 #: Longer parts are forgotten after their slice.
 KNOWN_BYTES = 64
 #: Bytes of text that are split into words at once.
-SLICE_BYTES = 4 * 1024 * 1024
+SLICE_BYTES = 2 * 1024 * 1024
 
 _ENCODERS: dict = {}
 #: ASCII marks but the apostrophe, which the tokenizer can join to letters.
@@ -46,9 +46,11 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         # For words of a to z alone every step before the merges changes nothing but the white space.
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
+        self.plain = Tokenizer(self.tokenizer.model)  # one model in memory serves both
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        # The second one doesn't know added tokens, so words that could hold one are encoded by the first.
+        self.letters_alone = any(token.isascii() and token.isalpha() for token in added)
         self.last_of_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         suffix = self.tokenizer.model.end_of_word_suffix
         if suffix:
@@ -68,7 +70,7 @@ class WordIds:
         apart: list[bytes] = []
         for part in parts:
             if part.isalpha():
-                plain.append(part)
+                (apart if self.letters_alone else plain).append(part)
             else:
                 text = part.decode()
                 (letters if text.isalpha() and text.lower().isalpha() else apart).append(part)

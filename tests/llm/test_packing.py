@@ -94,3 +94,26 @@ def test_slices_and_null(tokenizer):
     assert len(parts) > 1 and [t for p in parts for t in p.to_pylist()] == texts.to_pylist()
     assert packing.WordIds(public_tokenizers.path("word_bpe_49k.json")).encode_column(texts)[1].tolist()[1:3] == [0, 0]
     assert [p.to_pylist() for p in packing.slices(texts.slice(0, 0))] == [[]]
+
+
+def test_one_model_in_memory(monkeypatch):
+    from rainledger.llm import packing
+
+    read = []
+    monkeypatch.setattr("tokenizers.Tokenizer", type("Counted", (), {
+        "__new__": lambda cls, model: Tokenizer(model),
+        "from_file": staticmethod(lambda path: read.append(path) or Tokenizer.from_file(path)),
+    }))
+    packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    assert len(read) == 1
+
+
+def test_added_token_of_letters(tmp_path, tokenizer):
+    from rainledger.llm import packing
+
+    known = Tokenizer.from_str(tokenizer.to_str())
+    known.add_tokens(["foo"])
+    known.save(str(tmp_path / "t.json"))
+    texts = ["a foo b", "plain words", "xfoo foo", "中文 foo"]
+    for text, ids in zip(texts, packing.WordIds(str(tmp_path / "t.json")).encode([t.encode() for t in texts]), strict=True):
+        assert ids == np.array(known.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
