@@ -21,7 +21,7 @@ from rainledger.operators import weather as combine
 from rainledger.operators.lookup import join_lookup
 from rainledger.plans import final_reports as final_
 from rainledger.plans import weather_reports as weather_
-from rainledger.shared import new_folder
+from rainledger.shared import kept, new_folder
 from rainledger.sources import driver_tables as source
 from rainledger.sources import clean_table, month_state, readers, schemas, writers
 
@@ -100,9 +100,12 @@ def write_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def insert_clean(spark: SparkSession, sf: str) -> DataFrame:
-    """A strict load of the lines of the first years, one of all lines, and that again, read back."""
+    """A strict load of the lines of the first years, one of all lines, and that again, read back.
+
+    The lines are joined once, as a delivery that is stored, and not again by every load.
+    """
     path = new_folder(spark, "clean_table")
-    lines = enrich.typed_lines(enriched(spark, sf))
+    lines = kept(enrich.typed_lines(enriched(spark, sf)), "delivered_lines")
     early = lines.filter(F.col("order_date") < F.lit(SLICE[0]))
     for load in (early, lines, lines):
         clean_table.insert(load, path, enrich.line_rules())

@@ -178,14 +178,29 @@ def _stage(lines: DataFrame, rules: Sequence[Rule], folder: str) -> dict[str, in
     return {"read": found["read"], "accepted": found["accepted"], "rejected": found["rejected"], **named}
 
 
-def _fresh(spark: SparkSession, staged: dict[int, str], there: dict[int, str], folder: str) -> tuple[int, int]:
-    """Writes the staged lines whose key their year does not hold yet; how many were looked at, and how many are new."""
-    looked, new = Observation(), Observation()
-    known = _lines(spark, list(there.values())).select("order_year", KEY)
-    lines = _lines(spark, list(staged.values())).observe(looked, F.count(F.lit(1)).alias("n"))
-    fresh = lines.join(known, ["order_year", KEY], "left_anti").observe(new, F.count(F.lit(1)).alias("n"))
-    fresh.write.partitionBy("order_year").parquet(folder)
-    return looked.get["n"], new.get["n"]
+def _fresh(spark: SparkSession, staged: Sequence[str], there: Sequence[str]) -> DataFrame:
+    """The staged lines whose key their year does not hold yet."""
+    known = _lines(spark, there).select("order_year", KEY)
+    return _lines(spark, staged).join(known, ["order_year", KEY], "left_anti")
+
+
+def _grow(spark: SparkSession, load: str, staged: dict[int, str], years: dict[int, str]) -> tuple[dict[int, str], int]:
+    """New lines of years that the table has, written with the lines that were there: the folders, and how many were known.
+
+    The keys alone tell first which years get new lines; whole lines are read and moved for those only.
+    """
+    if not staged:
+        return {}, 0
+    counts = _fresh(spark, list(staged.values()), [years[year] for year in staged]).groupBy("order_year").count().collect()
+    known = _lines(spark, list(staged.values())).count() - sum(row["count"] for row in counts)
+    grown = [row["order_year"] for row in counts]
+    if grown:
+        there = [years[year] for year in grown]
+        merged = _lines(spark, there).unionByName(_fresh(spark, [staged[year] for year in grown], there))
+        arranged(merged, "order_year").write.options(**LOOKUP_OPTIONS).partitionBy("order_year").parquet(f"{load}/merged")
+    for folder in staged.values():
+        _delete(spark, folder)
+    return _years(spark, f"{load}/merged") if grown else {}, known
 
 
 def insert(lines: DataFrame, path: str, rules: Sequence[Rule] | None = None, strict: bool = True) -> Load:
@@ -206,18 +221,8 @@ def insert(lines: DataFrame, path: str, rules: Sequence[Rule] | None = None, str
             raise RejectedLines(outcomes)
         staged = _years(spark, f"{load}/staged/outcome=accepted")
         touched = {year: folder for year, folder in staged.items() if year in years}
-        published = {year: folder for year, folder in staged.items() if year not in years}
-        known = 0
-        if touched:
-            looked, new = _fresh(spark, touched, {year: years[year] for year in touched}, f"{load}/fresh")
-            known = looked - new
-            grown = _years(spark, f"{load}/fresh") if new else {}
-            if grown:
-                merged = _lines(spark, [*grown.values(), *[years[year] for year in grown]])
-                arranged(merged, "order_year").write.options(**LOOKUP_OPTIONS).partitionBy("order_year").parquet(f"{load}/merged")
-                published |= _years(spark, f"{load}/merged")
-            for folder in [f"{load}/fresh", *touched.values()]:
-                _delete(spark, folder)
+        merged, known = _grow(spark, load, touched, years)
+        published = {year: folder for year, folder in staged.items() if year not in years} | merged
         outcomes |= {"new": outcomes["accepted"] - known, "known": known}
         if published:
             version += 1

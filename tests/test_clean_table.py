@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from rainledger.operators.quality import not_null_rules, range_rules
@@ -188,3 +189,24 @@ def test_strict_write(spark, tmp_path):
     with pytest.raises(ValueError, match="new folder"):
         writers.write_clean(lines(spark, YEAR_ROWS), path, strict=True)
     assert [f.name for f in tmp_path.iterdir()] == ["c"]
+
+
+def test_whole_lines_are_written_for_growing_years_alone(spark, tmp_path, monkeypatch):
+    path, written = str(tmp_path / "t"), []
+    clean_table.insert(lines(spark, YEAR_ROWS), path)
+    plain = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, to, *a, **k: (written.append(to.split("/")[-1]), plain(self, to, *a, **k))[1])
+    clean_table.insert(lines(spark, YEAR_ROWS), path)
+    assert written == ["staged"]
+    load = clean_table.insert(lines(spark, [*YEAR_ROWS, ("700", date(2015, 7, 7), 3, "snow")]), path)
+    assert written == ["staged", "staged", "merged"] and load.years == [2015] and load.outcomes["known"] == 60
+    assert rows(clean_table.read(spark, path)) == want([*YEAR_ROWS, ("700", date(2015, 7, 7), 3, "snow")])
+
+
+def test_query_joins_its_lines_once(spark, sf_dir, monkeypatch):
+    from rainledger.plans import catalogue
+
+    sources, insert = [], clean_table.insert
+    monkeypatch.setattr(clean_table, "insert", lambda given, *a: (sources.append({f.split("/")[-2] for f in given.inputFiles()}), insert(given, *a))[1])
+    catalogue.insert_clean(spark, sf_dir)
+    assert len(sources) == 3 and sources[0] == sources[1] == sources[2] and all(s.startswith("delivered_lines") for s in sources[0])
