@@ -117,3 +117,33 @@ def test_added_token_of_letters(tmp_path, tokenizer):
     texts = ["a foo b", "plain words", "xfoo foo", "中文 foo"]
     for text, ids in zip(texts, packing.WordIds(str(tmp_path / "t.json")).encode([t.encode() for t in texts]), strict=True):
         assert ids == np.array(known.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_words_of_latin_letters_and_their_marks_are_remembered_apart(tokenizer):
+    """Each new word with its marks was one call of the tokenizer of its own."""
+    from rainledger.llm import packing
+
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["été, Öl. été!! l'été, été", "Straße### (straße", "niño, niño."]
+    for text, ids in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
+        assert ids == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert {"été".encode(), b",", b"!!", b"###"} <= set(words.known) and not {"été,".encode(), "niño.".encode()} & set(words.known)
+
+
+def test_marks_after_letters_that_normalization_changes(tokenizer):
+    from rainledger.llm import packing
+
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    letters = ["İ", "e\u0301", "\u0958", "\u212b", "ß", "ŉ", "ǆ", "Σας", "中", "ɏ", "x\u200d", "\u1e9e", "ﬁ", "Ⅷ", "ª", "𝒜"]
+    texts = [f"{a}{mark} {a}b{mark}{a}" for a in letters for mark in (",", "'s,", "..", "<|endoftext|>", "'", "1,")]
+    for text, ids in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
+        assert ids == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_long_parts_leave_no_ids(tokenizer):
+    from rainledger.llm import packing
+
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    words.encode([b"short " + b"ab1" * 10_000 + b" again", b"x" * 500])
+    assert sorted(words.known) == [b"", b"again", b"short"]
+    assert len(words.ids) < 10 and len(words.starts) == len(words.counts) == 3
