@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainledger.llm.packing import TOKENIZER, binary_rows, encoder, slices
-from rainledger.llm.tables import documents, join_sized, keep
+from rainledger.llm.tables import documents, join_sized, keep, keep_texts
 
 LENGTH = 2048
 END_ID = 0
@@ -224,7 +224,7 @@ def token_rows(docs: DataFrame, length: int, tokenizer: str, end_id: int) -> Dat
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, ids binary, doc_tokens bigint, run int, wholes_before bigint, tail bigint, tail_rank bigint"
-    return keep(docs.select("doc_id", "text").mapInArrow(encode, schema), "best-fit-tokens")
+    return keep_texts(docs.select("doc_id", "text").mapInArrow(encode, schema), "best-fit-tokens")
 
 
 def _starts(tokens: DataFrame, length: int) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rainledger.llm.components import connect
-from rainledger.llm.tables import documents, join_groups, join_groups_sized, join_sized, keep
-from rainledger.llm.words import give_back, mixed, shingles, utf8_rows
+from rainledger.llm.tables import documents, join_groups, join_groups_sized, join_sized, keep, keep_texts
+from rainledger.llm.words import give_back, mixed, remember_only, shingles, utf8_rows
 
 #: Buckets of a sketch, and the keys that a document gives to the banding.
 BUCKETS = 128
@@ -84,6 +84,7 @@ def sketch_rows(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Per document: number of shingles, a digest of the set, its sketch and its band keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_only()
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
@@ -184,6 +185,7 @@ def set_rows(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """node and its full set, for the documents named by ``nodes``."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_only()
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
@@ -345,7 +347,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     - Rows with one doc_id are one document; repeated rows come back repeated.
     - An empty table gives no rows. Further columns are not read, whatever their names.
     """
-    rows = keep(sketch_rows(docs, size, percent / 100), "sketches")
+    rows = keep_texts(sketch_rows(docs, size, percent / 100), "sketches")
     named = rows.where(F.col("doc_id").isNotNull())
     with_words = named.where("n_shingles > 0")
     classes = keep(
@@ -381,8 +383,8 @@ def _links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, size: int, per
     pairs = _with_both(_stars(buckets, percent), sketches, sketch="sketch", n="size")
     near = keep(_estimated(pairs, percent), "likely-stars")
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = keep(set_rows(docs, keep(ends, "star-nodes"), size), "star-sets")
-    starred = keep(_verified(_with_both(near, sets, shingles="set"), percent), "star-links")
+    sets = keep_texts(set_rows(docs, keep(ends, "star-nodes"), size), "star-sets")
+    starred = keep_texts(_verified(_with_both(near, sets, shingles="set"), percent), "star-links")
     component = connect(starred)
 
     # Buckets that are left open: a forest of likely pairs by sketches, and its trees by full sets.
@@ -402,7 +404,7 @@ def _links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, size: int, per
     trees = trees.unionByName(trees.select(F.col("tree").alias("component"), "tree")).distinct()
     open_nodes = open_buckets.select("node", "component").distinct()
     trees = keep(open_nodes.join(trees, "component"), "trees")
-    more_sets = keep(set_rows(docs, keep(trees.select("node").join(sets, "node", "left_anti"), "more-nodes"), size), "more-sets")
+    more_sets = keep_texts(set_rows(docs, keep(trees.select("node").join(sets, "node", "left_anti"), "more-nodes"), size), "more-sets")
     full = trees.join(sketches, "node").join(sets.unionByName(more_sets), "node")
     grouped = _blocks(keep(full, "full-trees"), "tree", F.octet_length("shingles")).groupBy("tree", "p", "q")
     more = keep(grouped.applyInPandas(link, f"a {kind}, b {kind}"), "block-links")

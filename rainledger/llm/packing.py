@@ -13,8 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rainledger.llm.tables import documents, keep
-from rainledger.llm.words import forget, give_back
+from rainledger.llm.tables import documents, keep_texts
+from rainledger.llm.words import give_back, remember_only
 
 LENGTH = 2048
 END_ID = 1
@@ -190,8 +190,8 @@ def _path(tokenizer: str) -> str:
 
 
 def encoder(tokenizer: str) -> WordIds:
-    """The worker's one encoder of a tokenizer, with the parts it remembers; word hashes of earlier stages are freed."""
-    forget()
+    """The worker's one encoder of a tokenizer, with the parts it remembers; what earlier stages remember is freed."""
+    remember_only(_ENCODERS)
     if tokenizer not in _ENCODERS:
         _ENCODERS[tokenizer] = WordIds(_path(tokenizer))
     return _ENCODERS[tokenizer]
@@ -223,7 +223,7 @@ def token_rows(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, ids binary, doc_tokens bigint, run int, before bigint"
-    return keep(docs.select("doc_id", "text").mapInArrow(encode, schema), "token-rows")
+    return keep_texts(docs.select("doc_id", "text").mapInArrow(encode, schema), "token-rows")
 
 
 def pieces(tokens: DataFrame, length: int = LENGTH) -> DataFrame:

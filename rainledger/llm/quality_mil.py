@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rainledger.llm.samples import held_out, labelled
-from rainledger.llm.tables import documents, keep, labels
-from rainledger.llm.words import utf8_rows, windows, word_hashes
+from rainledger.llm.tables import documents, keep_texts, labels
+from rainledger.llm.words import remember_only, utf8_rows, windows, word_hashes
 
 #: Labelled documents that the model is fitted on, at most.
 TRAIN_ROWS = 4000
@@ -165,6 +165,7 @@ def train(docs: DataFrame, labels_table: DataFrame, column: str = "quality", row
     chosen = F.broadcast(labelled(labels_table, column, rows))  # at most ``rows`` ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_only()
         for batch in batches:
             bags = [passages(text) for text in utf8_rows(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
@@ -180,7 +181,7 @@ def train(docs: DataFrame, labels_table: DataFrame, column: str = "quality", row
             raw = fit(bags, np.array([float(y) for _, y, _ in rows])).to_bytes()
         yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["model"])
 
-    sample = keep(
+    sample = keep_texts(
         docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(encode, "doc_id string, label int, bag binary"),
         "passage-sample",
     )
@@ -208,6 +209,7 @@ def scored(docs: DataFrame, model: bytes) -> DataFrame:
     docs = docs.drop("quality_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember_only()
         fitted = AttentionModel.of_bytes(model) if model else None
         for batch in batches:
             for start in range(0, batch.num_rows, 256):

@@ -43,12 +43,25 @@ def give_back() -> None:
         _TRIM(0)
 
 
-def forget() -> None:
-    """Free the remembered hashes and all unused memory, for a worker that goes on to other work."""
-    _HASHES.clear()
+#: What each kind of work remembers in a worker.
+_REMEMBERED: list[dict] = [_HASHES]
+
+
+def forget(but: dict | None = None) -> None:
+    """Free the remembered hashes, what other work remembers ``but`` one, and all unused memory."""
+    for kept in _REMEMBERED:
+        if kept is not but:
+            kept.clear()
     give_back()
 
 
+def remember_only(own: dict = _HASHES) -> None:
+    """For a task that begins: its worker may hold what an earlier stage remembers, which would stay beside its own."""
+    if all(kept is not own for kept in _REMEMBERED):
+        _REMEMBERED.append(own)
+    forget(own)
+
+
 def utf8_rows(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; NULL as empty."""
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()

@@ -147,3 +147,35 @@ def test_long_parts_leave_no_ids(tokenizer):
     words.encode([b"short " + b"ab1" * 10_000 + b" again", b"x" * 500])
     assert sorted(words.known) == [b"", b"again", b"short"]
     assert len(words.ids) < 10 and len(words.starts) == len(words.counts) == 3
+
+
+def test_rows_reach_python_in_small_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    from rainledger.llm import tables
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"octets": [batch.nbytes]})
+
+    texts = spark.range(0, 3000, 1, 1).selectExpr("repeat('word ', 1000) AS text")
+    kept = [r["octets"] for r in tables.keep_texts(texts.mapInArrow(sizes, "octets bigint"), "sizes").collect()]
+    assert sum(kept) > 14_000_000 and max(kept) < tables.BATCH_BYTES + 100_000
+    assert spark.conf.get(tables.BATCH_SETTING, None) is None
+    spark.conf.set(tables.BATCH_SETTING, "1000000")
+    try:
+        kept = [r["octets"] for r in tables.keep_texts(texts.mapInArrow(sizes, "octets bigint"), "sizes").collect()]
+        assert max(kept) < 1_100_000 and spark.conf.get(tables.BATCH_SETTING) == "1000000"
+    finally:
+        spark.conf.unset(tables.BATCH_SETTING)
+
+
+def test_a_worker_remembers_one_kind_of_work(monkeypatch):
+    from rainledger.llm import packing, words
+
+    monkeypatch.setattr(words, "_REMEMBERED", [words._HASHES])
+    words.word_hashes(b"one two")
+    assert packing.encoder(packing.TOKENIZER) and packing._ENCODERS and not words._HASHES
+    words.word_hashes(b"one two")
+    words.remember_only()
+    assert words._HASHES and not packing._ENCODERS
