@@ -56,16 +56,18 @@ def slice_by_date(
 
 
 def on_weather(
-    lines: DataFrame, weather: DataFrame, how: str, date_column: str, size: int | None = None
+    lines: DataFrame, weather: DataFrame, how: str, date_column: str, size: int | None = None, ready: bool = False
 ) -> DataFrame:
     """Weather of the line's own date and city."""
     lookup = weather.withColumnRenamed("date", date_column)
-    return join_lookup(lines, lookup, [date_column, "city"], how, size)
+    return join_lookup(lines, lookup, [date_column, "city"], how, size, ready)
 
 
-def sales_weather(dated: DataFrame, weather: DataFrame) -> DataFrame:
+def sales_weather(
+    dated: DataFrame, weather: DataFrame, size: int | None = None, ready: bool = False
+) -> DataFrame:
     """Lines that have weather, with temperature, humidity and description appended."""
-    joined = on_weather(dated, weather, "inner", "order_date_proper")
+    joined = on_weather(dated, weather, "inner", "order_date_proper", size, ready)
     return joined.select(*dated.columns, "temperature", "humidity", "description")
 
 

@@ -18,10 +18,10 @@ from pyspark.sql.types import ByteType, DateType, DecimalType, IntegerType, Shor
 from rainledger.functions.dates import MONTH_FIRST
 from rainledger.operators import enrich, impute, quality
 from rainledger.operators import weather as combine
-from rainledger.operators.lookup import join_lookup
+from rainledger.operators.lookup import join_lookup, measured_bytes
 from rainledger.plans import final_reports as final_
 from rainledger.plans import weather_reports as weather_
-from rainledger.shared import kept, new_folder
+from rainledger.shared import file_bytes, kept, new_folder, shuffles_deleted
 from rainledger.sources import driver_tables as source
 from rainledger.sources import clean_table, month_state, readers, schemas, writers
 
@@ -32,6 +32,9 @@ YEAR = 1998
 LOOKED_UP = {"order_id": "O-7", "customer_id": "C-7", "product_id": "P-7"}
 STATE_UNTIL = date(1999, 12, 15)
 HIGH_SALES = 100000
+#: Bytes of input files whose lines are stored at once, and the most shares of the orders: each share reads all inputs again.
+SHARE_BYTES = 128 << 20
+MOST_SHARES = 8
 PLACE = ("row_id", "order_date", "city", "state", "region")
 
 
@@ -54,6 +57,20 @@ def clean(spark: SparkSession, sf: str, products: bool = True) -> DataFrame:
     return enrich.sales_weather_clean(enriched(spark, sf, products))
 
 
+def stored_clean(spark: SparkSession, sf: str) -> str:
+    """The folder of a new clean table; the lines of large inputs are joined and written in shares of the orders."""
+    path = new_folder(spark, "sales_weather_clean")
+    bytes_in = file_bytes(spark, *[f"{sf}/{name}.parquet" for name in source.LINE_INPUTS])
+    shares = min(MOST_SHARES, 1 + bytes_in // SHARE_BYTES)
+    with shuffles_deleted(spark):
+        weather = source.weather_condition(spark, sf)
+        size = measured_bytes({"weather": weather})["weather"]
+        lines = [source.dated_orders(spark, sf, share=(n, shares) if shares > 1 else None) for n in range(shares)]
+        enriched_lines = [enrich.sales_weather(part, weather, size, ready=True) for part in lines]
+        writers.write_clean_parts([enrich.sales_weather_clean(part) for part in enriched_lines], path)
+    return path
+
+
 def sliced(spark: SparkSession, sf: str, products: bool = True) -> DataFrame:
     return enrich.slice_by_date(source.orders(spark, sf, products), *SLICE)
 
@@ -94,9 +111,7 @@ def load_description(spark: SparkSession, sf: str) -> DataFrame:
 
 def write_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Writes the clean table and reads it back."""
-    path = new_folder(spark, "sales_weather_clean")
-    writers.write_clean(clean(spark, sf), path)
-    return writers.read_clean(spark, path)
+    return writers.read_clean(spark, stored_clean(spark, sf))
 
 
 def insert_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,9 +145,7 @@ def loaded_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 def find_lines(spark: SparkSession, sf: str) -> DataFrame:
     """One order, one customer and one product, looked up in the stored table."""
-    path = new_folder(spark, "sales_weather_clean")
-    writers.write_clean(clean(spark, sf), path)
-    stored = writers.read_clean(spark, path)
+    stored = writers.read_clean(spark, stored_clean(spark, sf))
     found = [
         writers.find_lines(stored, **{column: value}).withColumn("looked_up", F.lit(column))
         for column, value in LOOKED_UP.items()
@@ -150,8 +163,7 @@ def bucketed_sales_weather(spark: SparkSession, sf: str) -> DataFrame:
 
 def clean_catalog_view(spark: SparkSession, sf: str) -> DataFrame:
     """The stored clean table through a view of the catalog, read by another session."""
-    path = new_folder(spark, "sales_weather_clean")
-    writers.write_clean(clean(spark, sf), path)
+    path = stored_clean(spark, sf)
     name = path.rsplit("/", 1)[-1].replace("-", "_")
     writers.clean_view(spark, path, name)
     return spark.newSession().table(name)

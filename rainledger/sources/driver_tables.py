@@ -25,6 +25,10 @@ PRODUCT_COLUMNS = ("category", "sub_category", "product_name")
 
 # The tables that the weather and place tables are derived from.
 INPUTS = ("orders", "customer", "nation", "region", "lineitem")
+LINE_INPUTS = (*INPUTS, "part")
+
+#: The number of a share of the orders, from 0, and the number of shares.
+Share = tuple[int, int]
 
 _SCHEMAS: dict[tuple, StructType] = {}
 
@@ -46,31 +50,42 @@ def _city_number() -> Column:
     return F.col("c_nationkey") * 3 + F.col("c_custkey") % 4
 
 
-def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _in_share(rows: DataFrame, key: str, share: Share | None) -> DataFrame:
+    """Rows of one share of the orders, set apart at the scan before anything else is worked out about them."""
+    if share is None:
+        return rows
+    number, of = share
+    return rows.filter(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(of)) == number)
+
+
+def _headers(spark: SparkSession, sf_dir: str, share: Share | None = None) -> DataFrame:
     """Orders with customer and place. Joined before the lines, which then shuffle only once."""
     places = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     return (
-        table(spark, sf_dir, "orders")
+        _in_share(table(spark, sf_dir, "orders"), "o_orderkey", share)
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     )
 
 
-def typed_lines(spark: SparkSession, sf_dir: str, products: bool = True) -> DataFrame:
+def typed_lines(
+    spark: SparkSession, sf_dir: str, products: bool = True, share: Share | None = None
+) -> DataFrame:
     """Order lines with DATE columns.
 
     Without ``products`` the three columns taken from ``part`` are left out, which saves
-    the shuffle of all lines on the part key.
+    the shuffle of all lines on the part key. With ``share`` only the lines of that share of the
+    orders are given; every line belongs to one share.
     """
     # Both sides grow with the data. The hint keeps Catalyst from broadcasting either of them
     # because a compressed file or a narrow projection looks small.
-    lines = table(spark, sf_dir, "lineitem").join(
-        _headers(spark, sf_dir).hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")
-    )
+    lines = _in_share(table(spark, sf_dir, "lineitem"), "l_orderkey", share)
     if products:
+        # Before the headers: without them a line is less to shuffle on the part key.
         lines = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    lines = lines.join(_headers(spark, sf_dir, share).hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     order_date = F.col("o_orderdate").cast("date")
     rate = F.col("l_discount").cast(schemas.FRACTION)
     sales = F.col("l_extendedprice").cast(schemas.MONEY)
@@ -102,9 +117,11 @@ def typed_lines(spark: SparkSession, sf_dir: str, products: bool = True) -> Data
     )
 
 
-def raw_lines(spark: SparkSession, sf_dir: str, products: bool = True) -> DataFrame:
+def raw_lines(
+    spark: SparkSession, sf_dir: str, products: bool = True, share: Share | None = None
+) -> DataFrame:
     """The same lines with both dates printed day first with a two-digit year."""
-    return typed_lines(spark, sf_dir, products).withColumns(
+    return typed_lines(spark, sf_dir, products, share).withColumns(
         {name: F.date_format(name, "dd/MM/yy") for name in ("order_date", "ship_date")}
     )
 
@@ -132,9 +149,11 @@ def orders(spark: SparkSession, sf_dir: str, products: bool = True) -> DataFrame
     return fold_city(typed_lines(spark, sf_dir, products))
 
 
-def dated_orders(spark: SparkSession, sf_dir: str, products: bool = True) -> DataFrame:
+def dated_orders(
+    spark: SparkSession, sf_dir: str, products: bool = True, share: Share | None = None
+) -> DataFrame:
     """Raw lines with the city folded and both dates parsed."""
-    return parse_dates(fold_city(raw_lines(spark, sf_dir, products)))
+    return parse_dates(fold_city(raw_lines(spark, sf_dir, products, share)))
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:

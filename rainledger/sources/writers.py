@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Sequence
 from datetime import date
 from functools import reduce
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from rainledger.operators.quality import not_null_rules, passes, range_rules
-from rainledger.shared import file_system
+from rainledger.shared import file_system, shuffles_deleted
 from rainledger.sources.schemas import CLEAN_COLUMNS, ORDERS_TYPED, READING
 
 #: Columns that lines are looked up by; their values are spread over all row groups of the layout.
@@ -52,22 +53,37 @@ def write_clean(clean: DataFrame, path: str, mode: str = "errorifexists", strict
     checked while they are written to a folder aside, which takes the place of ``path`` in one rename. That needs a
     ``path`` that isn't there yet; ``clean_table.insert`` adds to a table that has rows.
     """
-    by_year = clean.select(*CLEAN_COLUMNS).withColumn("order_year", F.year("order_date"))
-    if not strict:
-        arranged(by_year, "order_year").write.options(**LOOKUP_OPTIONS).mode(mode).partitionBy("order_year").parquet(path)
+    if strict:
+        if mode != "errorifexists":
+            raise ValueError(f"a strict write needs a new folder, not {path}")
+        write_clean_parts([clean], path, strict)
         return
-    spark = clean.sparkSession
+    _by_year(clean).write.options(**LOOKUP_OPTIONS).mode(mode).partitionBy("order_year").parquet(path)
+
+
+def write_clean_parts(parts: Sequence[DataFrame], path: str, strict: bool = False) -> None:
+    """The lines of several tables as one clean table in a new folder, all or nothing.
+
+    The parts are written one after the other to a folder aside, and the shuffle files of each are deleted before the next:
+    the disk then holds the table and the shuffles of one part, and not those of all lines.
+    """
+    spark = parts[0].sparkSession
     target, files = file_system(spark, path.rstrip("/"))
-    if mode != "errorifexists" or files.exists(target):
-        raise ValueError(f"a strict write needs a new folder, not {path}")
+    if files.exists(target):
+        raise ValueError(f"a write of parts or a strict one needs a new folder, not {path}")
     aside, _ = file_system(spark, f"{path.rstrip('/')}.{uuid.uuid4().hex}")
-    seen, rules = Observation(), [*not_null_rules(), *range_rules()]
-    counted = by_year.observe(seen, *[F.count_if(~passes(rule)).alias(str(i)) for i, rule in enumerate(rules)])
+    rules = [*not_null_rules(), *range_rules()] if strict else []
+    broken: Counter[str] = Counter()
     try:
-        arranged(counted, "order_year").write.options(**LOOKUP_OPTIONS).partitionBy("order_year").parquet(aside.toString())
-        broken = {rule.name: seen.get[str(i)] for i, rule in enumerate(rules) if seen.get[str(i)]}
+        with shuffles_deleted(spark):
+            for part in parts:
+                seen = Observation()
+                counts = [F.count_if(~passes(rule)).alias(str(i)) for i, rule in enumerate(rules)]
+                write = _by_year(part.observe(seen, *counts) if counts else part).write.options(**LOOKUP_OPTIONS)
+                write.mode("append").partitionBy("order_year").parquet(aside.toString())
+                broken.update({rule.name: n for i, rule in enumerate(rules) if (n := seen.get[str(i)])})
         if broken:
-            raise ValueError(f"write refused, {path} is not there: {broken}")
+            raise ValueError(f"write refused, {path} is not there: {dict(broken)}")
         if not files.rename(aside, target):
             raise OSError(f"{aside} can't be renamed to {path}")
     except BaseException:
@@ -75,6 +91,10 @@ def write_clean(clean: DataFrame, path: str, mode: str = "errorifexists", strict
         raise
 
 
+def _by_year(clean: DataFrame) -> DataFrame:
+    return arranged(clean.select(*CLEAN_COLUMNS).withColumn("order_year", F.year("order_date")), "order_year")
+
+
 def write_rejected(rejected: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Lines with their reject_reason, beside the clean table."""
     rejected.write.mode(mode).parquet(path)

@@ -1,15 +1,20 @@
 """What the stored layouts save: row groups at a lookup, a shuffle at a join, and a view for other sessions."""
 
 import re
-from datetime import date, timedelta
+import time
+from collections import Counter
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from rainledger.operators import enrich
 from rainledger.operators.lookup import LIMIT_SETTING
-from rainledger.sources import writers
+from rainledger.plans import catalogue
+from rainledger.shared import SHUFFLE_CLEANUP
+from rainledger.sources import driver_tables, writers
 from rainledger.sources.schemas import CLEAN_COLUMNS
 
 ROWS = 60_000
@@ -105,3 +110,87 @@ def test_a_view_for_other_sessions(spark, tmp_path):
         assert "PartitionFilters: [isnotnull(order_year" in other.filter("order_year = 2014")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.sql("DROP VIEW IF EXISTS clean_lines")
+
+
+def driver_folder(spark, folder):
+    """Driver tables with repeated and missing keys: every order twice as often as its neighbour, some without customer or part."""
+    day = datetime(1996, 1, 1)
+    tables = {
+        "region": ([(0, "r0"), (1, "r1")], "r_regionkey int, r_name string"),
+        "nation": ([(n, f"n{n}", n % 2) for n in range(4)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": (
+            [(c if c else None, f"name{c}", c % 4, "seg") for c in range(12)] + [(3, "again", 1, "seg")],
+            "c_custkey long, c_name string, c_nationkey int, c_mktsegment string",
+        ),
+        "orders": (
+            [(o if o else None, o % 13, day + timedelta(o % 40), "low") for o in range(60)] + [(7, 7, day, "high")],
+            "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string",
+        ),
+        "part": ([(p, "t", "b", f"p{p}") for p in range(5)] + [(2, "t", "b", "again")], "p_partkey long, p_type string, p_brand string, p_name string"),
+        "lineitem": (
+            [(None if i == 5 else i % 61, i % 7 if i % 9 else None, i % 4, 1.0 + i, float(i % 5), 0.01) for i in range(300)] * 2,
+            "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_discount double",
+        ),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_shares_of_the_orders_hold_every_line_once(spark, tmp_path, monkeypatch):
+    folder = driver_folder(spark, tmp_path / "tables")
+    want = Counter(map(tuple, catalogue.clean(spark, folder).collect()))
+    assert sum(want.values()) > 100 and max(want.values()) > 1
+    monkeypatch.setattr(catalogue, "MOST_SHARES", 3)
+    for least in (1 << 40, 1):
+        monkeypatch.setattr(catalogue, "SHARE_BYTES", least)
+        found = catalogue.clean_catalog_view(spark, folder)
+        writes = {re.search(r"/part-\d+-([0-9a-f-]{36})", file)[1] for file in found.inputFiles()}
+        assert len(writes) == (3 if least == 1 else 1)
+        assert Counter(map(tuple, found.drop("order_year").collect())) == want
+
+
+def test_shuffles_of_a_share_are_deleted_before_the_next(spark, sf_dir, monkeypatch):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+    def left(before):
+        for _ in range(100):  # they are deleted beside the driver's own work
+            if not (found := shuffled() - before):
+                break
+            time.sleep(0.1)
+        return found
+
+    driver_tables.weather_condition(spark, sf_dir)
+    monkeypatch.setattr(catalogue, "SHARE_BYTES", 1, raising=False)
+    monkeypatch.setattr(catalogue, "MOST_SHARES", 3, raising=False)
+    before, written, plain = shuffled(), [], DataFrameWriter.parquet
+
+    def parquet(self, to, *args, **named):
+        written.append(left(before))
+        return plain(self, to, *args, **named)
+
+    # Spark's own broadcasts aside, every join shuffles as it does with large tables
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    try:
+        catalogue.clean_catalog_view(spark, sf_dir)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert left(before) == set()
+    assert len(written) == 3 and not any(written)
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) is None
+
+
+def test_parts_are_written_whole_or_not_at_all(spark, tmp_path):
+    path, lines = str(tmp_path / "clean"), clean(spark).limit(40)
+    broken = lines.withColumn("region", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        writers.write_clean_parts([lines, broken], path)
+    assert list(tmp_path.iterdir()) == []
+    writers.write_clean_parts([lines, lines.limit(0), lines], path)
+    assert [f.name for f in tmp_path.iterdir()] == ["clean"]
+    assert writers.read_clean(spark, path).count() == 80
+    with pytest.raises(ValueError, match="new folder"):
+        writers.write_clean_parts([lines], path)
